@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, packing
+from . import common, packing, toxicity
 
 
 def word_bpe_path() -> str:
@@ -19,5 +20,22 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.read_table(spark, sf_dir, "documents"), word_bpe_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_packing": op8_packing}
+def toxicity_net(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Net:
+    """The classifier learned from the labelled rows of ``docs`` whose crc32 leaves a remainder by 5."""
+    settings = toxicity.Settings()
+    labels = common.read_table(spark, sf_dir, "labels")
+    texts, y = toxicity.labelled_sample(docs, labels, lambda c: ~common.held_out(c, 5), "toxic", settings)
+    return toxicity.train(texts, y, settings)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents")
+    scored = toxicity.score_texts(docs.select("doc_id", "text"), toxicity_net(spark, docs, sf_dir))
+    return scored.select("doc_id", common.held_out("doc_id", 5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": op4_toxicity,
+    "op8_packing": op8_packing,
+}
 ORACLES: dict[str, str] = {}
