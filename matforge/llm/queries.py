@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, toxicity
+from . import common, packing, quality, toxicity
 
 
 def word_bpe_path() -> str:
@@ -34,8 +34,21 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", common.held_out("doc_id", 5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def quality_field(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Field:
+    settings = quality.Settings()
+    labels = common.read_table(spark, sf_dir, "labels")
+    return quality.train(*toxicity.labelled_sample(docs, labels, lambda c: F.lit(True), "quality", settings), settings)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents")
+    judged = quality.judge_texts(docs.select("doc_id", "text"), quality_field(spark, docs, sf_dir))
+    return judged.drop("text", "content_share")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
     "op8_packing": op8_packing,
 }
 ORACLES: dict[str, str] = {}
