@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, quality, toxicity
+from . import common, lm, packing, quality, toxicity
 
 
 def word_bpe_path() -> str:
@@ -46,9 +46,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text", "content_share")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = common.held_out("doc_id", 10)
+    trained = lm.train(docs.filter(~out))
+    return lm.score_texts(docs.withColumn("held_out", out), trained)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
+    "op6_lm_scoring": op6_lm_scoring,
     "op8_packing": op8_packing,
 }
 ORACLES: dict[str, str] = {}
