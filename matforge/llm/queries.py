@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, lm, packing, quality, toxicity
+from . import common, lm, minhash, packing, quality, toxicity
 
 
 def word_bpe_path() -> str:
@@ -53,10 +53,15 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(docs.withColumn("held_out", out), trained)
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(common.read_table(spark, sf_dir, "documents"), minhash.Settings(shingle=2))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_lm_scoring": op6_lm_scoring,
     "op8_packing": op8_packing,
+    "op9_minhash": op9_minhash,
 }
 ORACLES: dict[str, str] = {}
