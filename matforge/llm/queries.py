@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, lm, minhash, packing, quality, toxicity
+from . import common, lm, minhash, packing, quality, secrets, toxicity
 
 
 def word_bpe_path() -> str:
@@ -57,11 +57,24 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.read_table(spark, sf_dir, "documents"), minhash.Settings(shingle=2))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.findings(common.read_table(spark, sf_dir, "documents"), secrets.train(spark), path="source")
+    return found.select("doc_id", "finding", F.length("candidate").alias("candidate_chars"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+
+
+def corpus_pipeline_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_lm_scoring": op6_lm_scoring,
     "op8_packing": op8_packing,
     "op9_minhash": op9_minhash,
+    "pipeline": corpus_pipeline_run,
 }
 ORACLES: dict[str, str] = {}
