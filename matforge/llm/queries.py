@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, lm, minhash, packing, quality, secrets, spherical, toxicity
+from . import chat, common, lm, minhash, packing, pieces, quality, secrets, spherical, toxicity, warc
 
 
 def word_bpe_path() -> str:
@@ -16,6 +16,22 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(common.read_table(spark, sf_dir, "pages"))
+
+
+OP7_SQL = """
+WITH p AS (
+    SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), h AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS head FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN head = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN head <> page_id THEN head END AS refers_to
+FROM h
+"""
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.read_table(spark, sf_dir, "documents"), word_bpe_path())
 
@@ -111,6 +127,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "finding", F.length("candidate").alias("candidate_chars"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.round_trip(common.read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def corpus_pipeline_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -124,8 +146,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_lm_scoring": op6_lm_scoring,
+    "op7_warc": op7_warc,
     "op8_packing": op8_packing,
     "op9_minhash": op9_minhash,
+    "op10_sentencepiece": op10_sentencepiece,
     "pipeline": corpus_pipeline_run,
 }
-ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op3_embedding_dedup": OP3_SQL}
+ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op7_warc": OP7_SQL}
