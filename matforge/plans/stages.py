@@ -1,0 +1,15 @@
+"""Borders between parts of a plan."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept on the executors' disks.
+
+    Long rules stay on one side of the border: the optimizer does not copy them into joins and filters, where they would be
+    planned and evaluated again and again.  A lost block is computed anew from its lineage.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
