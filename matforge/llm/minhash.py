@@ -5,9 +5,10 @@ paired.  Minima of ``bands * rows`` hash functions give band keys; their low bit
 share a band key are candidates; bit counts on the signatures estimate their similarity, corrected for chance agreement of b
 bits, and drop clear misses; the full sets decide the rest.
 
-Candidates are not all pairs of a bucket: each class is first compared with its bucket's smallest, and connected components
-are formed.  Only pairs of a bucket that are still in different components are compared after that, so a group of near copies
-costs as many comparisons as it has members, and no link between components is lost.
+Candidates are not all pairs of a bucket: each class is first compared with its bucket's smallest, its head, and connected
+components are formed.  What is left are the classes of a head in different components.  They are dealt into blocks of bounded
+size; each pair of blocks is compared in one task by matrices of bit counts and of shingle counts, and only links come out.
+So a group of near copies costs as many rows as it has members, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ class Settings:
     bands: int = 32
     rows: int = 4  # at a similarity of 0.8 a pair shares no band with probability 5e-8
     bits: int = 4
+    block: int = 512  # classes of a block
     slack: float = 5.0  # standard deviations of the estimate that a candidate may lie below the threshold
     seed: int = 11
 
@@ -160,6 +162,104 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings, doc_id: str, text:
     return with_columns(both.select("a", "b", "ta", "tb"), "_ok boolean", make, rows=64).filter("_ok").select("a", "b").distinct()
 
 
+def links_between(sets: list[np.ndarray], component: np.ndarray, own: np.ndarray, side: np.ndarray | None, s: Settings) -> np.ndarray:
+    """Pairs of rows (n x 2) in different components that are similar enough; with ``side``, only across its two values.
+
+    ``own`` is true for rows of the head's component, which are not compared with each other.
+    """
+    n = np.array([len(v) for v in sets], np.int64)
+    sig = signatures(sets, s)[1].view(np.uint64)
+    i, j = np.nonzero(np.triu(component[:, None] != component[None, :], 1))
+    ok = ~(own[i] & own[j]) & (100 * n[i] >= s.percent * n[j]) & (100 * n[j] >= s.percent * n[i])
+    if side is not None:
+        ok &= side[i] != side[j]
+    i, j = i[ok], j[ok]
+    ones = np.uint64(sum(1 << (k * s.bits) for k in range(64 // s.bits)))
+    chance, keep = 1.0 / (1 << s.bits), []
+    for lo in range(0, len(i), 100_000):
+        x = sig[i[lo : lo + 100_000]] ^ sig[j[lo : lo + 100_000]]
+        y = x.copy()
+        for k in range(1, s.bits):
+            y |= x >> np.uint64(k)
+        equal = 1 - np.bitwise_count(y & ones).sum(1) / s.hashes
+        keep.append((equal - chance) / (1 - chance) >= least_estimate(s))
+    if not len(i):
+        return np.zeros((0, 2), np.int64)
+    keep = np.concatenate(keep)
+    i, j = i[keep], j[keep]
+    if len(i) <= 4 * len(sets):
+        common = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j)], np.int64)
+    else:  # only shingles of two rows or more can be common
+        flat = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), n)
+        order = np.argsort(flat, kind="stable")
+        flat, row = flat[order], row[order]
+        new = np.concatenate([[True], flat[1:] != flat[:-1]])
+        col = np.cumsum(new) - 1
+        shared = np.bincount(col)[col] > 1
+        row, col = row[shared], col[shared]
+        col = np.unique(col, return_inverse=True)[1]
+        total = np.zeros((len(sets), len(sets)), np.float32)
+        width = 4096
+        for lo in range(0, int(col.max()) + 1 if len(col) else 0, width):
+            at = (col >= lo) & (col < lo + width)
+            m = np.zeros((len(sets), width), np.float32)
+            m[row[at], col[at] - lo] = 1
+            total += m @ m.T
+        common = total[i, j].astype(np.int64)
+    hit = (common > 0) & (100 * common >= s.percent * (n[i] + n[j] - common))
+    return np.stack([i[hit], j[hit]], 1)
+
+
+def _compare_blocks(s: Settings):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        single_threaded()
+        shingle, key, held, out = Shingler(s.shingle), None, [], []
+
+        def close():
+            if len(held) > 1:
+                cls, component, block, own, texts = zip(*held)
+                side = None if key[1] == key[2] else np.array(block)
+                for i, j in links_between(shingle(list(texts)), np.array(component), np.array(own), side, s):
+                    out.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
+
+        for b in batches:
+            for *k, cls, component, block, own, text in zip(*(c.to_pylist() for c in b.columns)):
+                if k != key:
+                    close()
+                    key, held = k, []
+                held.append((cls, component, block, own, text or ""))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+                out.clear()
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+
+    return run
+
+
+def links_across(placed: DataFrame, docs: DataFrame, s: Settings, doc_id: str, text: str) -> DataFrame:
+    """Links between classes of one head (``head, cls, component``) that are in different components.
+
+    Rows of the head's own component meet the others' blocks only; they are not compared with each other.
+    """
+    home = placed.filter("cls = head").select("head", F.col("component").alias("home")).distinct()
+    rows = placed.join(home, "head").withColumn("own", F.col("component") == F.col("home"))
+    sizes = rows.groupBy("head").agg(F.count_if("own").alias("n0"), F.count_if(~F.col("own")).alias("n1")).filter("n1 > 0")
+    sizes = sizes.select("head", F.expr(f"cast(ceil(n0 / {s.block}.0) as int)").alias("b0"), F.expr(f"cast(ceil(n1 / {s.block}.0) as int)").alias("b1"))
+    dealt = rows.join(sizes, "head").withColumn("block", F.expr("cast(if(own, pmod(xxhash64(cls), b0), b0 + pmod(xxhash64(cls), b1)) as int)"))
+    # own rows: one copy for each block of others; others: one for each block of any kind
+    dealt = dealt.withColumn("other", F.explode(F.expr("if(own, sequence(b0, b0 + b1 - 1), sequence(0, b0 + b1 - 1))")))
+    dealt = dealt.select("head", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "cls", "component", "block", "own")
+    wanted = dealt.select(F.col("cls").alias("id")).distinct()
+    texts = written(docs.select(docs[doc_id].alias("id"), docs[text].alias("t")).join(wanted, "id"), "block-texts")
+    full = dealt.join(texts.withColumnRenamed("id", "cls"), "cls").select("head", "lo", "hi", "cls", "component", "block", "own", "t")
+    return full.repartition("head", "lo", "hi").sortWithinPartitions("head", "lo", "hi").mapInArrow(_compare_blocks(s), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -188,17 +288,10 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), doc_id: str = "do
     edges = written(verified(stars, own, s, "_id", "_text"), "star-links")
     labels = components(edges) if not edges.isEmpty() else None
     placed = crowded.withColumn("component", F.col("cls")) if labels is None else crowded.join(labels.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    placed = written(placed, "placed")
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-    left = placed.join(mixed, "band")
-    a, b = (left.select("band", F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-    fits = (F.col("na") * 100 >= F.col("nb") * s.percent) & (F.col("nb") * 100 >= F.col("na") * s.percent)
-    rest = a.join(b, "band").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
-    rest = written(likely(rest.join(stars, ["a", "b"], "left_anti")), "other-pairs")
-    if not rest.isEmpty():
-        more = written(verified(rest, own, s, "_id", "_text"), "other-links")
-        if not more.isEmpty():
-            labels = components(edges.union(more))
+    placed = placed.select("head", "cls", "component").distinct()
+    more = written(links_across(placed, own, s, "_id", "_text"), "other-links")
+    if not more.isEmpty():
+        labels = components(edges.union(more))
     out = signed.select("_id", "_n", "_key").join(classes.select("_key", "cls"), "_key", "left")
     if labels is not None:
         out = out.join(labels.withColumnRenamed("id", "cls"), "cls", "left")
