@@ -33,10 +33,12 @@ def grams(x: str) -> Column:
 def pair_tfidf(a: str, b: str) -> Column:
     """Cosine of the n-gram weights of two gram columns, as fitted on just the two texts; 0 if one has none."""
     w2 = ONE_SIDED**2
-    look = lambda m, e: f"try_element_at(map_from_entries({m}), {e}.k)"
-    dot = f"aggregate({a}, 0D, (t, e) -> t + e.n * coalesce({look(b, 'e')}, 0))"
-    norm = lambda x, y: f"aggregate({x}, 0D, (t, e) -> t + e.n * e.n * IF({look(y, 'e')} IS NULL, {w2}D, 1D))"
-    return F.expr(f"coalesce(try_divide({dot}, sqrt({norm(a, b)} * {norm(b, a)})), 0D)")
+    look = lambda m: f"try_element_at(m.{m}, e.k)"
+    dot = f"aggregate({a}, 0D, (t, e) -> t + e.n * coalesce({look('b')}, 0))"
+    norm = lambda x, other: f"aggregate({x}, 0D, (t, e) -> t + e.n * e.n * IF({look(other)} IS NULL, {w2}D, 1D))"
+    # both maps are bound to a name, so that they are built once for a pair
+    maps = f"array(named_struct('a', map_from_entries({a}), 'b', map_from_entries({b})))"
+    return F.expr(f"transform({maps}, m -> coalesce(try_divide({dot}, sqrt({norm(a, 'b')} * {norm(b, 'a')})), 0D))[0]")
 
 
 def jaccard(a: str, b: str, both_empty: float = 0.5, one_empty: float = 0.3) -> Column:

@@ -46,7 +46,7 @@ def run(items: DataFrame, top_k: int = 15, strategy: str = "auto", encoder: simi
     none = (F.col("clean_description_a") == "") | (F.col("clean_description_b") == "")
     scored = pairs.withColumn("_fuzzy", fuzzy).withColumn("semantic", similarity.semantic(similarity.dense_similarity("vector_a", "vector_b"), similarity.pair_tfidf("grams_a", "grams_b"), F.col("_fuzzy"), none))
     likely = scored.filter(F.col("semantic") >= rules.PREFILTER)
-    return gate.match_records(gate.decide(staged(gate.evaluate(likely)))).orderBy(F.desc("confidence_score"), "item_a", "item_b")
+    return gate.match_records(staged(gate.decide(staged(gate.evaluate(likely))))).orderBy(F.desc("confidence_score"), "item_a", "item_b")
 
 
 def upload(spark: SparkSession, tables: registry.Tables, catalog: DataFrame, content: bytes, cpse: str, name: str, at) -> tuple[registry.Tables, DataFrame, DataFrame, DataFrame]:

@@ -193,7 +193,7 @@ _DECIDED = layered_sql(_pairs_sql(), [*gate.evaluation_layers(), *gate.decision_
 
 
 def decided_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate.decide(staged(gate.evaluate(scored_pairs(spark, sf_dir))))
+    return staged(gate.decide(staged(gate.evaluate(scored_pairs(spark, sf_dir)))))
 
 
 query("blocked_pairs_count", f"SELECT category_a AS category, cast(count(*) AS bigint) AS pairs FROM ({_pairs_sql()}) GROUP BY 1")(lambda spark, d: scored_pairs(spark, d).groupBy(F.col("category_a").alias("category")).agg(F.count("*").alias("pairs")))
@@ -233,7 +233,7 @@ _GRAM_SQL = f"""WITH w AS (SELECT item_id, ' ' || unnest(list_filter(string_spli
 g AS (SELECT item_id, k, count(*) AS n FROM (SELECT item_id, substr(w, cast(i AS int), cast(l AS int)) AS k FROM w, (VALUES (2), (3), (4)) AS x(l), generate_series(1, 60) AS s(i)
     WHERE (length(w) >= l AND i <= length(w) - l + 1)) GROUP BY ALL),
 p AS (SELECT a.item_id AS a, b.item_id AS b FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id),
-t AS (SELECT a, b, k, sum(na) AS na, sum(nb) AS nb FROM (SELECT p.a, p.b, g.k, g.n AS na, 0 AS nb FROM p JOIN g ON g.item_id = p.a UNION ALL SELECT p.a, p.b, g.k, 0, g.n FROM p JOIN g ON g.item_id = p.b) GROUP BY a, b, k)
+t AS (SELECT a, b, k, cast(sum(na) AS double) AS na, cast(sum(nb) AS double) AS nb FROM (SELECT p.a, p.b, g.k, g.n AS na, 0 AS nb FROM p JOIN g ON g.item_id = p.a UNION ALL SELECT p.a, p.b, g.k, 0, g.n FROM p JOIN g ON g.item_id = p.b) GROUP BY a, b, k)
 SELECT a, b, round(sum(na * nb) / sqrt(sum(na * na * CASE WHEN nb = 0 THEN {similarity.ONE_SIDED**2} ELSE 1 END) * sum(nb * nb * CASE WHEN na = 0 THEN {similarity.ONE_SIDED**2} ELSE 1 END)), 6) AS score FROM t GROUP BY a, b"""
 
 
