@@ -135,11 +135,20 @@ def least_estimate(s: Settings) -> float:
     return j - s.slack * (p * (1 - p) / s.hashes) ** 0.5 / (1 - c)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, s: Settings, doc_id: str, text: str) -> DataFrame:
-    """The pairs (``a, b``) whose full sets are similar enough."""
-    # texts of candidates only
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = written(docs.select(docs[doc_id].alias("id"), docs[text].alias("t")).join(ids, "id"), "candidate-texts")
+def texts_by_id(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, buckets: int = 1 << 20) -> DataFrame:
+    """``id, t`` of the rows whose id is in ``ids``.
+
+    Most texts are no candidates: before the join on ids, hash buckets of ids, of a fixed number at any size, are broadcast and
+    let only rows of wanted buckets into the shuffle.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
+    wanted = ids.select(bucket("id").alias("k")).distinct()
+    rows = docs.select(docs[doc_id].alias("id"), docs[text].alias("t"))
+    return rows.join(F.broadcast(wanted), bucket("id") == F.col("k"), "left_semi").join(ids, "id")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (``a, b``) whose full sets, of ``texts`` (``id, t``), are similar enough."""
     both = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
 
     def make():
@@ -241,7 +250,7 @@ def _compare_blocks(s: Settings):
     return run
 
 
-def links_across(placed: DataFrame, docs: DataFrame, s: Settings, doc_id: str, text: str) -> DataFrame:
+def links_across(placed: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """Links between classes of one head (``head, cls, component``) that are in different components.
 
     Rows of the head's own component meet the others' blocks only; they are not compared with each other.
@@ -254,8 +263,6 @@ def links_across(placed: DataFrame, docs: DataFrame, s: Settings, doc_id: str, t
     # own rows: one copy for each block of others; others: one for each block of any kind
     dealt = dealt.withColumn("other", F.explode(F.expr("if(own, sequence(b0, b0 + b1 - 1), sequence(0, b0 + b1 - 1))")))
     dealt = dealt.select("head", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "cls", "component", "block", "own")
-    wanted = dealt.select(F.col("cls").alias("id")).distinct()
-    texts = written(docs.select(docs[doc_id].alias("id"), docs[text].alias("t")).join(wanted, "id"), "block-texts")
     full = dealt.join(texts.withColumnRenamed("id", "cls"), "cls").select("head", "lo", "hi", "cls", "component", "block", "own", "t")
     return full.repartition("head", "lo", "hi").sortWithinPartitions("head", "lo", "hi").mapInArrow(_compare_blocks(s), "a long, b long").distinct()
 
@@ -271,13 +278,14 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), doc_id: str = "do
     own = docs.select(docs[doc_id].alias("_id"), docs[text].alias("_text"))
     signed = written(sign(own, s, "_text").drop("_text"), "signatures")
     classes = written(
-        signed.filter("_key is not null and _id is not null").groupBy("_key").agg(F.min("_id").alias("cls"), F.first("_n").alias("n"), F.first("_bands").alias("bands"), F.first("_sig").alias("sig")),
+        signed.filter("_key is not null and _id is not null").groupBy("_key").agg(F.min("_id").alias("cls"), F.first("_bands").alias("bands"), F.first("_sig").alias("sig")),
         "classes",
     )
-    rows = classes.select("cls", "n", F.explode("bands").alias("band"))
+    rows = classes.select("cls", F.explode("bands").alias("band"))
     heads = rows.groupBy("band").agg(F.min("cls").alias("head"), F.count("*").alias("k")).filter("k > 1").drop("k")
     crowded = written(rows.join(heads, "band"), "crowded")
     sigs = classes.select("cls", "sig")
+    texts = written(texts_by_id(own, crowded.select(F.col("cls").alias("id")).distinct(), "_id", "_text"), "candidate-texts")
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Pairs whose estimate is not clearly too low."""
@@ -285,11 +293,11 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), doc_id: str = "do
         return x.filter(estimate("sa", "sb", s) >= least_estimate(s)).select("a", "b").distinct()
 
     stars = written(likely(crowded.filter("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()), "star-pairs")
-    edges = written(verified(stars, own, s, "_id", "_text"), "star-links")
+    edges = written(verified(stars, texts, s), "star-links")
     labels = components(edges) if not edges.isEmpty() else None
     placed = crowded.withColumn("component", F.col("cls")) if labels is None else crowded.join(labels.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     placed = placed.select("head", "cls", "component").distinct()
-    more = written(links_across(placed, own, s, "_id", "_text"), "other-links")
+    more = written(links_across(placed, texts, s), "other-links")
     if not more.isEmpty():
         labels = components(edges.union(more))
     out = signed.select("_id", "_n", "_key").join(classes.select("_key", "cls"), "_key", "left")
