@@ -251,7 +251,16 @@ def train(docs: DataFrame, settings: Settings = Settings(), text: str = "text")
     for row in by_class:
         in_class[:, row["k"]] = row["n"], row["v"]
     n, v = int(in_class[0].sum()), int(in_class[1].sum())
-    frequent = [(bytes(r["w"]), r["c"]) for r in counts.orderBy(F.desc("c"), "w").limit(s.lookup).collect()]
+    # the most frequent words by steps of the logarithm of their counts: a few hundred sizes tell how far the bound reaches
+    step = F.floor(F.log2("c") * 16).cast("int")
+    room, least = s.lookup, 1 << 30
+    for row in sorted(counts.groupBy(step.alias("k")).count().collect(), reverse=True):
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["k"]
+    rows = counts.filter((step >= least) | (F.length("w") == 0)).collect()  # the end token always
+    frequent = sorted(((bytes(r["w"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
     core_words = [END] + [w for w, _ in frequent[: s.core] if w != END][: s.core - 1]
     lookup, model = dict(frequent), Model(s, {w: i for i, w in enumerate(core_words)})
     core_counts = np.zeros(s.core)
@@ -332,8 +341,7 @@ def score_texts(docs: DataFrame, t: Trained, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c.lower() not in {"n_tokens", "n_known", "train_tokens", "base_score", "score", text.lower()}]
     first = written(with_columns(docs.select(*kept, text), ADDED, make, rows=128).drop(text).withColumn("_row", F.monotonically_increasing_id()), "scored")
     pairs = first.select("_row", F.explode("_rare").alias("w"))
-    outside = t.counts if len(t.lookup) >= s.lookup else t.counts.limit(0)
-    found = pairs.join(outside, "w", "left").groupBy("_row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("_r"), F.count("c").alias("_k"))
+    found = pairs.join(t.counts, "w", "left").groupBy("_row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("_r"), F.count("c").alias("_k"))
     out = first.join(found, "_row", "left")
     r, k = F.coalesce("_r", F.lit(0.0)), F.coalesce("_k", F.lit(0))
     return out.select(
