@@ -228,10 +228,13 @@ def best_threshold(z: np.ndarray, y: np.ndarray) -> float:
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable, label: str, settings, doc_id: str = "doc_id", text: str = "text"):
     """At most ``max_rows_per_class`` labelled texts of each class, chosen by a hash of the id."""
     rows = labels.filter(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).filter(usable("_id")).distinct()
-    chosen = None
-    for y in (0, 1):
-        part = rows.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(settings.max_rows_per_class)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    # a share of each class by hash, so that no task or driver holds more than the bound
+    sizes = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
+    top, some = 1 << 30, settings.max_rows_per_class
+    chosen = rows.filter("false")
+    for y, n in sizes.items():
+        share = top if n <= some else int(top * 0.9 * some / n)
+        chosen = chosen.unionByName(rows.filter((F.col("_y") == y) & (F.pmod(F.xxhash64("_id"), F.lit(top)) < share)).limit(some))
     # ids and labels only, a bounded number of them, are broadcast
     found = docs.select(docs[doc_id].alias("_id"), docs[text].alias("_t")).join(F.broadcast(chosen), "_id").collect()
     found.sort(key=lambda r: (r["_id"], r["_t"] or "", r["_y"]))
