@@ -21,13 +21,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with enough content lines, words and variety."""
     field = queries.quality_field(spark, docs, sf_dir)
-    return quality.judge_texts(docs, field).filter("kept").select(*docs.columns)
+    return quality.judge_texts(docs, field, prefix="_quality_").filter("_quality_kept").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest id."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest id.
+    Of rows that share an id, one stays."""
     kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").select(*docs.columns)
+    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

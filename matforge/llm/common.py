@@ -113,6 +113,9 @@ def single_threaded() -> None:
 
 
 def many_objects() -> None:
-    """For workers that keep large dictionaries without cycles: the cycle collector would walk them again and again."""
-    gc.freeze()
+    """For tasks that keep large dictionaries without cycles: the cycle collector would walk them again and again.
+
+    What earlier tasks left in the worker goes first.
+    """
+    gc.collect()
     gc.set_threshold(500_000, 50, 1000)

@@ -209,8 +209,8 @@ def repeated_words(words: list[list[bytes]]) -> np.ndarray:
 ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content_share double, base_failed boolean, kept boolean"
 
 
-def judge_texts(docs: DataFrame, field: Field, settings: Settings = Settings(), text: str = "text") -> DataFrame:
-    """``docs`` with the columns of ``ADDED``.
+def judge_texts(docs: DataFrame, field: Field, settings: Settings = Settings(), text: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with the columns of ``ADDED``, their names after ``prefix``.
 
     Null and empty texts have no words and are not kept.  ``content_share`` is 0 where there are no words.  Rows are judged
     one by one, so repeated rows and ids are no special case; columns of the same names are replaced.
@@ -238,8 +238,9 @@ def judge_texts(docs: DataFrame, field: Field, settings: Settings = Settings(),
             n, chars, again = np.array([len(w) for w in words]), np.array([int(s.sum()) for s in sizes]), repeated_words(words)
             share = content / np.maximum(chars, 1)
             failed = (n < settings.min_words) | (100 * again > settings.max_repeat_percent * n)
-            return {"n_words": n, "word_chars": chars, "n_symbols": np.array([sum(map(t.count, SYMBOLS)) for t in texts]), "n_dup_lines": np.array([m[2] for m in made]), "n_repeat_words": again, "content_share": share, "base_failed": failed, "kept": ~failed & (share >= settings.share)}
+            got = {"n_words": n, "word_chars": chars, "n_symbols": np.array([sum(map(t.count, SYMBOLS)) for t in texts]), "n_dup_lines": np.array([m[2] for m in made]), "n_repeat_words": again, "content_share": share, "base_failed": failed, "kept": ~failed & (share >= settings.share)}
+            return {prefix + k: v for k, v in got.items()}
 
         return work
 
-    return with_columns(docs, ADDED, make, rows=256)
+    return with_columns(docs, ", ".join(prefix + c for c in ADDED.split(", ")), make, rows=128)
