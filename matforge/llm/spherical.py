@@ -5,6 +5,10 @@ its own random codewords, and every choice of one codeword per block is a filter
 direction a unit vector exceeds by a threshold, without visiting the rest; a vector that exceeds few gets its best ones.
 Vectors with equal labels that share a filter are compared in double precision.
 
+A pair at the threshold shares no filter of one code with a probability that depends on its angle only (rotations are uniform)
+and grows with the number of codewords.  So it is measured for the code at hand, and independent codes are added until all
+of them miss such a pair with probability ``miss`` at most.
+
 Equal vectors form one class first.  A crowded filter is cut into blocks of bounded size and every pair of blocks is compared
 as matrices in a task of its own; pairs are never rows.  A pair that shares several filters is counted in its smallest.
 """
@@ -29,8 +33,10 @@ PARTS = 4
 @dataclass(frozen=True)
 class Settings:
     threshold: float = 0.98
-    filters: int = 24  # expected by vector
-    least: int = 16  # a vector that exceeds fewer gets so many of its best
+    filters: int = 8  # expected by vector, of each code
+    least: int = 6  # a vector that exceeds fewer gets so many of its best
+    miss: float = 1e-8  # bound for a pair at the threshold
+    probes: int = 2000  # pairs that measure one code
     block: int = 1024
     seed: int = 17
 
@@ -38,8 +44,8 @@ class Settings:
 class Code:
     """Product code for vectors of ``dim`` components; ``words`` codewords for each of four blocks."""
 
-    def __init__(self, dim: int, words: int, s: Settings):
-        rng = np.random.default_rng([s.seed, dim, words])
+    def __init__(self, dim: int, words: int, s: Settings, number: int = 0):
+        rng = np.random.default_rng([s.seed, dim, words, number])
         self.size = -(-max(dim, 2 * PARTS) // PARTS)
         self.words, self.s, self.dim = words, s, dim
         q, r = np.linalg.qr(rng.normal(size=(self.size * PARTS,) * 2))
@@ -73,10 +79,41 @@ class Code:
         return out
 
 
+def words_for(n: int, s: Settings) -> int:
+    """Codewords of a block for ``n`` vectors: about three vectors in each filter."""
+    return max(16, int(np.ceil((s.filters * n / 3) ** (1 / PARTS))))
+
+
+class Codes:
+    """So many independent codes that a pair at the threshold shares no filter with probability ``miss`` at most."""
+
+    def __init__(self, dim: int, words: int, s: Settings):
+        self.codes = [Code(dim, words, s)]
+        self.missed = self._missed(s) if dim > 1 else 0.0  # of one code, an upper bound
+        more = int(np.ceil(np.log(s.miss) / np.log(self.missed))) if self.missed else 1
+        self.codes += [Code(dim, words, s, i) for i in range(1, more)]
+
+    def _missed(self, s: Settings) -> float:
+        """Share of random pairs at the threshold that share no filter of the first code, and two deviations more."""
+        code = self.codes[0]
+        u, v = np.random.default_rng([s.seed, code.dim]).normal(size=(2, s.probes, code.dim))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        v -= (u * v).sum(1, keepdims=True) * u
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        v = s.threshold * u + (1 - s.threshold**2) ** 0.5 * v
+        k = sum(not np.intersect1d(a, b, assume_unique=True).size for a, b in zip(code.decode(u), code.decode(v)))
+        return min(0.9, (k + 2 * k**0.5 + 3) / s.probes)
+
+    def decode(self, unit: np.ndarray) -> list[np.ndarray]:
+        """Sorted filter numbers of each unit vector; those of a code follow those of the code before."""
+        each = [code.decode(unit) for code in self.codes]
+        return [np.concatenate([f + i * code.words**PARTS for i, (code, f) in enumerate(zip(self.codes, fs))]) for fs in zip(*each)]
+
+
 def _codes(vectors: DataFrame, words: int, s: Settings) -> DataFrame:
     def make():
         single_threaded()
-        codes: dict[int, Code] = {}
+        codes: dict[int, Codes] = {}
 
         def work(batch: pa.RecordBatch) -> dict:
             rows, out = batch.column(batch.schema.get_field_index("v")).to_pylist(), [None] * batch.num_rows
@@ -84,9 +121,10 @@ def _codes(vectors: DataFrame, words: int, s: Settings) -> DataFrame:
             for i, v in enumerate(rows):
                 by_dim.setdefault(len(v), []).append(i)
             for dim, at in by_dim.items():
-                code = codes.setdefault(dim, Code(dim, words, s))
+                if dim not in codes:
+                    codes[dim] = Codes(dim, words, s)
                 x = np.array([rows[i] for i in at], float)
-                for i, f in zip(at, code.decode(x / np.linalg.norm(x, axis=1, keepdims=True))):
+                for i, f in zip(at, codes[dim].decode(x / np.linalg.norm(x, axis=1, keepdims=True))):
                     out[i] = f
             return {"fs": out}
 
@@ -106,7 +144,6 @@ def _compare(s: Settings):
         def close():
             if len(held) < 2:
                 return
-            f = key[2]
             cls, block, mult = (np.array([h[i] for h in held], np.int64) for i in (0, 1, 2))
             x = np.array([h[3] for h in held], float)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -117,15 +154,18 @@ def _compare(s: Settings):
             if not near.any():
                 return
             # of a pair that shares a smaller filter, the links are counted there
-            earlier = [np.asarray(h[4], np.int64) for h in held]
-            earlier = [e[e < f] for e in earlier]
-            names = np.unique(np.concatenate(earlier))
-            counted = near
-            if len(names):
-                m = np.zeros((len(held), len(names)), np.float32)
-                for i, e in enumerate(earlier):
-                    m[i, np.searchsorted(names, e)] = 1
-                counted = near & (m @ m.T < 0.5)
+            live = np.flatnonzero(near.any(1))
+            cls, mult, near = cls[live], mult[live], near[np.ix_(live, live)]
+            earlier = [np.asarray(held[i][4], np.int64) for i in live]
+            names, times = np.unique(np.concatenate(earlier), return_counts=True)
+            names, counted = names[times > 1], near.copy()
+            at, which = np.repeat(np.arange(len(live)), [len(e) for e in earlier]), np.concatenate(earlier)
+            for lo in range(0, len(names), 4096):
+                some = names[lo : lo + 4096]
+                k = np.minimum(np.searchsorted(some, which), len(some) - 1)
+                m = np.zeros((len(live), len(some)), np.float32)
+                m[at[some[k] == which], k[some[k] == which]] = 1
+                counted &= m @ m.T < 0.5
             links = counted @ mult
             label = cls.copy()
             while True:  # smallest class in reach, inside the group
@@ -133,14 +173,13 @@ def _compare(s: Settings):
                 if (new == label).all():
                     break
                 label = new
-            live = near.any(1)
-            out.extend(zip(cls[live].tolist(), links[live].tolist(), label[live].tolist()))
+            out.extend(zip(cls.tolist(), links.tolist(), label.tolist()))
 
         def batch():
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], []))], schema=schema)
 
         for b in batches:
-            cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("dim", "label", "f", "lo", "hi", "cls", "own", "mult", "v", "fs")]
+            cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("dim", "label", "f", "lo", "hi", "cls", "own", "mult", "v", "earlier")]
             for d, l, f, lo, hi, *rest in zip(*cols):
                 if (d, l, f, lo, hi) != key:
                     close()
@@ -169,14 +208,14 @@ def near_vectors(df: DataFrame, s: Settings = Settings(), vec_id: str = "vec_id"
     rows = rows.withColumn("good", F.coalesce(F.expr(good), F.lit(False)))
     classes = written(rows.filter("good").groupBy("label", "v").agg(F.min("id").alias("cls"), F.count("*").alias("mult")), "vector-classes")
     n = classes.count()
-    words = max(16, int(np.ceil((8.0 * n) ** (1 / PARTS))))
-    coded = written(_codes(classes, words, s), "vector-codes")
+    coded = written(_codes(classes, words_for(n, s), s), "vector-codes")
     keys = coded.select(F.size("v").alias("dim"), "label", "cls", "mult", F.explode("fs").alias("f"))
     crowds = keys.groupBy("dim", "label", "f").count().filter("count > 1")
     placed = keys.join(crowds, ["dim", "label", "f"]).withColumn("blocks", F.ceil(F.col("count") / s.block).cast("int"))
     placed = placed.withColumn("own", F.expr("cast(pmod(xxhash64(cls, f), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     placed = placed.select("dim", "label", "f", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls", "mult", F.col("own").cast("long").alias("own"))
     full = placed.join(coded.select("label", "cls", "v", "fs", F.size("v").alias("dim")), ["dim", "label", "cls"])
+    full = full.withColumn("earlier", F.expr("filter(fs, e -> e < f)")).drop("fs")
     sorted_ = full.repartition("dim", "label", "f", "lo", "hi").sortWithinPartitions("dim", "label", "f", "lo", "hi")
     found = written(sorted_.mapInArrow(_compare(s), "cls long, links long, near long"), "vector-links")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))

@@ -119,6 +119,28 @@ def test_near_vectors(spark):
     assert spherical.near_vectors(df.limit(0)).count() == 0
 
 
+def pairs_at(n, dim, cosine, seed):
+    u, v = np.random.default_rng(seed).normal(size=(2, n, dim))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    v -= (u * v).sum(1, keepdims=True) * u
+    return u, cosine * u + (1 - cosine**2) ** 0.5 * v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("n", [2_000, 1_000_000, 30_000_000])
+def test_filters_of_pairs_at_the_threshold(n):
+    s = spherical.Settings()
+    codes = spherical.Codes(64, spherical.words_for(n, s), s)
+    u, v = pairs_at(4000, 64, 0.98, 5)
+    assert all(len(np.intersect1d(a, b)) for a, b in zip(codes.decode(u), codes.decode(v)))
+    assert codes.missed ** len(codes.codes) <= 1e-8
+
+
+def test_near_vectors_at_the_threshold(spark):
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.stack(pairs_at(6000, 64, 0.980001, 8), 1).reshape(-1, 64))]
+    got = spherical.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert [(r["n_links"], r["component_id"]) for r in sorted(got)] == [(1, i - i % 2) for i in range(12000)]
+
+
 # ---- toxicity and quality
 
 
