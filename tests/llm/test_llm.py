@@ -91,6 +91,21 @@ def test_secret_findings(spark, forest):
     assert secrets.findings(df.limit(0), forest).count() == 0
 
 
+def test_long_secrets(spark, forest):
+    r = random.Random(4)
+    mixed = lambda n: "".join(r.choice("abcdefghijkmnopqrstuvwyzABCDEFGHJKLMNPQRSTUVWYZ23456789") for _ in range(n))
+    jwts = [f"eyJ{mixed(33)}.{mixed(n)}.{mixed(m)}" for n, m in ((900, 43), (560, 683), (5000, 683))]
+    named = [mixed(n) for n in (300, 1000, 5000)] + jwts
+    texts = [f'see api_key="{v}" end' for v in named]
+    whole = named + [f"{p}{mixed(n)}" for p in ("ghp_", "xoxb-", "sk-") for n in (300, 5000)] + jwts + [mixed(300), mixed(5000)]
+    texts += [f"see {v} end" for v in whole[len(named) :]]
+    df = docs(spark, texts)
+    assert [x["candidate"] for x in secrets.findings(df, forest).orderBy("doc_id", "finding").collect()] == whole
+    clean = [x["text"] for x in secrets.redact(df, forest).orderBy("doc_id").collect()]
+    assert clean[: len(named)] == ['see api_key="[SECRET]" end'] * len(named)
+    assert clean[len(named) : -2] == ["see [SECRET] end"] * (len(whole) - len(named) - 2)
+
+
 # ---- vectors
 
 
