@@ -4,7 +4,8 @@ Lengths fall into reciprocal-capacity classes: a piece of class ``k`` takes ``ca
 holds exactly ``k`` pieces.  Documents may be cut, so each is cut into pieces of exactly such lengths (whole sequences first,
 then the binary parts of the rest): bins of a class are full without padding.  Bins of different classes never mix, so each
 worker fills its own without a shuffle.  What is left at a worker's end (fewer than ``k`` pieces of a class) becomes
-sequences whose lengths are powers of two, which need no padding either.  At most ``2 * capacity`` pieces are held in memory.
+sequences whose lengths are powers of two, which need no padding either.  A class holds less than ``capacity`` tokens open, so
+at most ``2 * capacity`` pieces with their ids are held in memory, and what goes out next (about ``FLUSH`` tokens).
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 
 from .common import many_objects, single_threaded, texts_of
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
+FLUSH = 1 << 20
 
 
 class WordEncoder:
@@ -132,7 +134,9 @@ class Bins:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
+    """One row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``.
+
+    ``ids`` are the piece's tokens: a sequence is its pieces' ids in the order of ``offset``.
 
     A document is its text's ids and then ``end_id``; a null or empty text is that id alone.  Repeated rows and ids are packed
     as documents of their own; a null ``doc_id`` is kept.  An empty table gives no rows.  Other columns are ignored.
@@ -141,14 +145,17 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     with open(tokenizer_path, encoding="utf-8") as f:
         shipped = sc.broadcast(f.read())  # a vocabulary file: its size does not depend on the input
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-    kind = pa.schema([(n, pa.int64()) for n in names])
+    kind = pa.schema([(n, pa.int64()) for n in names] + [("ids", pa.list_(pa.int32()))])
 
     def batch(rows: list[list]) -> pa.RecordBatch:
-        cols = list(zip(*rows)) if rows else [[]] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=kind)
+        key, start, length, ids, *rest = zip(*rows) if rows else [[]] * (len(names) + 1)
+        cols = [pa.array(c, pa.int64()) for c in (key, start, length, [zlib.crc32(x) for x in ids], *rest)]
+        ends = np.cumsum([0, *length], dtype=np.int32)
+        flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
+        return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), flat)], schema=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, bins, rows = WordEncoder(shipped.value), Bins(capacity, TaskContext.get().partitionId()), []
+        encode, bins, rows, ready = WordEncoder(shipped.value), Bins(capacity, TaskContext.get().partitionId()), [], 0
         for big in batches:
             for lo in range(0, big.num_rows, 256):
                 b = big.slice(lo, 256)
@@ -156,13 +163,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
                     ids.append(end_id)
                     raw, start = np.array(ids, dtype="<u4").tobytes(), 0
                     for n in cut(len(ids), capacity):
-                        full = bins.add([key, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)]), len(ids)])
+                        full = bins.add([key, start, n, raw[4 * start : 4 * (start + n)], len(ids)])
                         start += n
                         if full:
                             rows += full
-                if len(rows) > 20_000:
+                            ready += capacity
+                if ready > FLUSH or len(rows) > 20_000:
                     yield batch(rows)
-                    rows = []
+                    rows, ready = [], 0
         for part in bins.rest():
             rows += part
         yield batch(rows)

@@ -33,7 +33,7 @@ FROM h
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(common.read_table(spark, sf_dir, "documents"), word_bpe_path())
+    return packing.pack_documents(common.read_table(spark, sf_dir, "documents"), word_bpe_path()).drop("ids")
 
 
 def toxicity_net(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Net:

@@ -301,6 +301,22 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, texts).limit(0), path).count() == 0
 
 
+def test_packed_ids(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    texts = [" ".join(words(40 * i, i)) for i in range(20)] + ODD
+    t, by_seq, back = Tokenizer.from_file(path), defaultdict(list), defaultdict(list)
+    for r in packing.pack_documents(docs(spark, texts).repartition(3), path, capacity=256).collect():
+        by_seq[r["sequence_id"]].append(r)
+    for rows in by_seq.values():
+        sequence = [x for r in sorted(rows, key=lambda r: r["offset"]) for x in r["ids"]]
+        for r in rows:
+            back[r["doc_id"]].append((r["start"], sequence[r["offset"] : r["offset"] + r["length"]]))
+    for i, x in enumerate(texts):
+        assert [k for _, p in sorted(back[i]) for k in p] == t.encode(x or "", add_special_tokens=False).ids + [2]
+
+
 # ---- near duplicates
 
 
