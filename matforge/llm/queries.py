@@ -17,7 +17,7 @@ def word_bpe_path() -> str:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(common.read_table(spark, sf_dir, "pages"))
+    return warc.round_trip(common.read_table(spark, sf_dir, "pages")).drop("payload")
 
 
 OP7_SQL = """

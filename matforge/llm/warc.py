@@ -130,28 +130,28 @@ def gunzip(data: bytes) -> bytes:
     return data
 
 
-FIELDS = "origin string, segment long, total long, page_id long, kind string, refers_to long, told_digest string, payload_bytes long, payload_digest string, block binary"
+FIELDS = "origin string, segment long, total long, page_id long, kind string, refers_to long, told_digest string, payload_bytes long, payload_digest string, block binary, payload binary"
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row for each page record under ``path``: ``page_id, payload_bytes, payload_digest, record_type, refers_to, payload``.
 
     Digests are of the payload as read; a revisit's are those of the payload it stands for, as its record tells.  ``payload``
-    is null for revisits and for records of one segment whose digest was verified in place.  Raises on missing segments, wrong
+    is the decoded payload, null for revisits.  Raises on missing segments, wrong
     total lengths, broken framing and digests that do not fit.
     """
     names = [f.split()[0] for f in FIELDS.split(", ")]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
     schema = pa.schema(list(zip(names, kinds)))
     number = lambda v: int(v) if v else None
 
-    def finished(block: bytes, told: str) -> tuple[int, str]:
+    def finished(block: bytes, told: str) -> tuple[int, str, bytes]:
         head, _, body = block.partition(b"\r\n\r\n")
         payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
         digest = hashlib.sha1(payload).hexdigest()
         if told and digest != told:
             raise ValueError("a payload does not have its digest")
-        return len(payload), digest
+        return len(payload), digest, payload
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,38 +160,38 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 for h, block in parse_records(gunzip(content.as_py())):
                     told = h.get("warc-payload-digest", "").removeprefix("sha1:")
                     origin = h.get("warc-segment-origin-id") or h["warc-record-id"]
-                    row = [origin, number(h.get("warc-segment-number")), number(h.get("warc-segment-total-length")), number(h.get("x-page-id")), h["warc-type"], number(h.get("x-refers-to-page-id")), told, None, None, None]
+                    row = [origin, number(h.get("warc-segment-number")), number(h.get("warc-segment-total-length")), number(h.get("x-page-id")), h["warc-type"], number(h.get("x-refers-to-page-id")), told, None, None, None, None]
                     if row[4] == "revisit":
                         row[7:9] = number(h.get("x-payload-length")), told
                     elif row[1] is None:
-                        row[7:9] = finished(block, told)
+                        row[7], row[8], row[10] = finished(block, told)
                     else:
                         row[9] = block
                     rows.append(row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], schema=schema)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_kind = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+        out_kind = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 rows = []
-                for origin, page_id, kind, refers_to, told, size, digest, parts in zip(*(c.to_pylist() for c in b.slice(lo, 64).columns)):
+                for origin, page_id, kind, refers_to, told, size, digest, payload, parts in zip(*(c.to_pylist() for c in b.slice(lo, 64).columns)):
                     if parts:
                         parts.sort(key=lambda p: p["segment"])
                         whole = b"".join(p["block"] for p in parts)
                         if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)) or parts[-1]["total"] != len(whole):
                             raise ValueError(f"segments of {origin} are missing")
-                        size, digest = finished(whole, told)
-                    rows.append((page_id, size, digest, kind, refers_to))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, out_kind.types)], schema=out_kind)
+                        size, digest, payload = finished(whole, told)
+                    rows.append((page_id, size, digest, kind, refers_to, payload))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, out_kind.types)], schema=out_kind)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     records = files.mapInArrow(scan, FIELDS)
     part = F.when(F.col("segment").isNotNull(), F.struct("segment", "total", "block"))
     first = lambda c: F.max(c).alias(c)  # noqa: E731  continuations have null
     whole = records.withColumn("kind", F.when(F.col("kind") != "continuation", F.col("kind"))).withColumn("told_digest", F.nullif("told_digest", F.lit("")))
-    whole = whole.groupBy("origin").agg(first("page_id"), first("kind"), first("refers_to"), first("told_digest"), first("payload_bytes"), first("payload_digest"), F.collect_list(part).alias("parts"))
-    return whole.mapInArrow(join, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    whole = whole.groupBy("origin").agg(first("page_id"), first("kind"), first("refers_to"), first("told_digest"), first("payload_bytes"), first("payload_digest"), first("payload"), F.collect_list(part).alias("parts"))
+    return whole.mapInArrow(join, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:

@@ -260,6 +260,14 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_payloads(spark):
+    long, same = "<p>ü🙂</p>" * 4000, "y" * 1000
+    rows = [(1, "http://a", same), (2, "http://b", same), (3, None, None), (4, "http://d", long), (5, "http://e", "\r\n\r\nWARC/1.1\r\n\r\n")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["payload"] for r in warc.round_trip(df, segment=5000, chunk=700).collect()}
+    assert got == {i: None if i == 1 else bytearray((h or "").encode()) for i, _, h in rows}
+
+
 def test_warc_errors():
     parts = list(warc.page_records(1, "u", "abc" * 100, None, "", "00000000-0000-0000-0000-000000000001", 100, 30))
     assert len(parts) > 3 and "WARC-Segment-Total-Length" in parts[-1]
