@@ -26,9 +26,12 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest id.
-    Of rows that share an id, one stays."""
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    Rows are decided one by one: null and repeated ids are no reason to go, and a row without an id stays if its group has none."""
+    rows = common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+    groups = minhash.near_duplicates(rows, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_first")
+    kept = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(first).select(F.col("_first._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
