@@ -169,7 +169,8 @@ _ITEM = [{"item_id": _item_id, "unit_of_measure": text.unit("uom")}]
 #: Words in lower case, without repeats, for a similarity that both engines compute.
 _WORDS = {SPARK: "array_distinct(filter(split(lower(description), '[^a-z0-9]+'), w -> w <> ''))", DUCK: "list_distinct(list_filter(string_split_regex(lower(description), '[^a-z0-9]+'), lambda w: w <> ''))"}
 _ITEMS: Layers = [*_ITEM, *_SPECS, *gate.material_layers(), {"words": lambda d: _WORDS[d]}]
-#: Items of a group and of the next ten meet: blocks of bounded size at any number of items.
+#: Disjoint blocks of ten groups: a slice of the pairs, small enough for the SQL.  Items of one category in different blocks
+#: do not meet here; they do in ``dense_match`` and ``mint_codes``.
 _BLOCK = [{"block": lambda d: d.div("g", 10)}]
 _CONDITION = "(a.category = b.category OR a.category = 'OTHER' OR b.category = 'OTHER') AND a.block = b.block AND a.ord < b.ord AND a.source_cpse <> b.source_cpse"
 _SIDES = [*gate.ITEM_COLUMNS, "ord", "words"]
@@ -288,8 +289,13 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mint_codes")
 def mint_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes and mappings of all linked pairs, folded in order."""
-    t = registry.mint(registry.empty(spark), _linked(spark, sf_dir).filter("status = 'auto_linked'"), "auto_linked", "tier2_system", _dt())
+    """Codes and mappings of all pairs that the whole matching plan links, folded best first (ties: by item)."""
+    found = staged(matching.run(_items(spark, sf_dir).select("ord", "item_id", "source_cpse", "description", "uom"))).filter("status = 'auto_linked'")
+    best_first = registry.numbered(found.withColumn("_o", F.struct(-F.col("confidence_score"), "item_a", "item_b")), 1, "_o")
+    linked = best_first.select(F.col("number").alias("ord"), "match_id", "item_a", "item_b", "source_cpse_a", "source_cpse_b", F.col("item_a").alias("canonical_description"), "confidence_score")
+    if spark.sparkContext.getCheckpointDir():  # minting reads it many times: without the plan behind it, the driver stays small
+        linked = linked.checkpoint()
+    t = registry.mint(registry.empty(spark), linked, "auto_linked", "tier2_system", _dt())
     return t.mapping.select("cnmc_code", "source_cpse", "original_code")
 
 
