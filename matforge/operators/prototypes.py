@@ -6,6 +6,7 @@ from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import rules, similarity
 from .candidates import cross_source_pairs
@@ -68,7 +69,7 @@ def score(items: DataFrame, gate: bool = True) -> DataFrame:
     return scored.select(F.col("item_id_a").alias("item_a"), F.col("item_id_b").alias("item_b"), F.bround("text_score", 3).alias("text_score"), "spec_score", "unit_score", "confidence", status.alias("status"), "block_reason").orderBy(F.desc("confidence"), "item_a", "item_b")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _sort_ratio(a, b):
     import pandas as pd
 
