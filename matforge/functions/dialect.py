@@ -35,12 +35,9 @@ class Dialect:
     def string(self, x: str) -> str:
         raise NotImplementedError
 
-    def one_of(self, x: str, table: dict[str, str], otherwise: str = "NULL") -> str:
-        """Lookup of ``x`` in a fixed table."""
-        by_value: dict[str, list[str]] = {}
-        for k, v in table.items():
-            by_value.setdefault(v, []).append(self.text(k))
-        return "CASE " + " ".join(f"WHEN {x} IN ({', '.join(k)}) THEN {self.text(v)}" for v, k in by_value.items()) + f" ELSE {otherwise} END"
+    def one_of(self, x: str, table: dict[str, str], otherwise: str = "NULL", numbers: bool = False) -> str:
+        """Lookup of ``x`` in a fixed table; with ``numbers``, the keys are numbers."""
+        raise NotImplementedError
 
 
 class Spark(Dialect):
@@ -59,6 +56,12 @@ class Spark(Dialect):
             by = by.replace(f"\\{i}", f"${i}")
         return f"regexp_replace({x}, {self.text('(?i)' + pattern)}, {self.text(by)})"
 
+    def one_of(self, x, table, otherwise="NULL", numbers=False):
+        # a literal map: ``x`` is evaluated once, whatever the size of the table
+        pairs = ", ".join(f"{f'{k}D' if numbers else self.text(k)}, {self.text(v)}" for k, v in table.items())
+        found = f"try_element_at(map({pairs}), {x})"
+        return found if otherwise == "NULL" else f"coalesce({found}, {otherwise})"
+
     def div(self, a, b):
         return f"({a} div {b})"
 
@@ -79,6 +82,12 @@ class Duck(Dialect):
     def replace(self, x, pattern, by):
         return f"regexp_replace({x}, {self.text(pattern)}, {self.text(by)}, 'gi')"
 
+    def one_of(self, x, table, otherwise="NULL", numbers=False):
+        by_value: dict[str, list[str]] = {}
+        for k, v in table.items():
+            by_value.setdefault(v, []).append(f"{k}e0" if numbers else self.text(k))
+        return "CASE " + " ".join(f"WHEN {x} IN ({', '.join(k)}) THEN {self.text(v)}" for v, k in by_value.items()) + f" ELSE {otherwise} END"
+
     def div(self, a, b):
         return f"({a} // {b})"
 

@@ -29,11 +29,10 @@ def clean_or_empty(x: str) -> Rule:
 
 def unit(x: str, default: str | None = None) -> Rule:
     """The common unit; unknown ones in upper case.  ``default`` stands for null and empty ones."""
-    table = {spelling: unit for unit, all_ in rules.UNITS.items() for spelling in all_}
     u = f"upper(trim({x}))"
     if default is not None:
         u = f"coalesce(nullif({u}, ''), '{default}')"
-    return lambda d: d.one_of(u, table, u)
+    return lambda d: d.one_of(u, rules.UNITS, u)
 
 
 def same_unit_score(a: str, b: str) -> Rule:
@@ -50,7 +49,7 @@ def category(x: str, hint: str | None = None) -> Rule:
             known = ", ".join(f"'{c}'" for c in rules.CATEGORIES)
             cases.append(f"WHEN upper({hint}) IN ({known}) THEN upper({hint})")
         for c, words in rules.KEYWORDS.items():
-            cases.append(f"WHEN {d.matches(t, rf'\b(?:{words})\b')} THEN '{c}'")
+            cases.append(f"WHEN {d.matches(t, rf'\b(?:{'|'.join(words)})\b')} THEN '{c}'")
         return "CASE " + " ".join(cases) + " ELSE 'OTHER' END"
 
     return sql
@@ -71,7 +70,7 @@ def subtype(x: str, of: str) -> Rule:
 
 
 def _inch(d: Dialect, n: str) -> str:
-    return d.one_of(n, {k: f"DN{dn}" for dn, names in rules.INCHES.items() for k in names})
+    return d.one_of(n, rules.INCHES)
 
 
 def _mm(d: Dialect, n: str) -> str:
@@ -85,10 +84,10 @@ def size(x: str) -> Rule:
     def sql(d: Dialect) -> str:
         s = f"upper(trim({x}))"
         nb, mm = (d.extract(s, rf"^({number})\s*{u}$") for u in ("NB", "MM"))
-        inch_pattern = rf"^({fraction})\s*(?:\x22|INCH|IN|INCHES)?$"
+        inch_pattern = rf'^({fraction})\s*(?:"|INCH|IN|INCHES)?$'
         f = f"replace({d.extract(s, inch_pattern)}, ' ', '-')"
         whole = d.extract(f, r"^0*(\d+)(?:\.0+)?$")
-        inches = {k: f"DN{dn}" for dn, names in rules.INCHES.items() for k in names if k in rules.WHOLE_INCHES}
+        inches = {k: rules.INCHES[k] for k in rules.WHOLE_INCHES}
         return f"""CASE WHEN {x} IS NULL OR {x} = '' THEN NULL WHEN {d.matches(s, r'^DN\d+$')} THEN {s}
             WHEN {nb} IS NOT NULL THEN coalesce({_mm(d, nb)}, {_inch(d, nb)}, concat('DN', {nb}))
             WHEN {mm} IS NOT NULL THEN coalesce({_mm(d, mm)}, concat('DN', {mm}))
@@ -100,14 +99,12 @@ def size(x: str) -> Rule:
 
 def pressure(x: str) -> Rule:
     """Pressure class: known spellings, then PN ratings, then the first number."""
-    table = {spelling: name for name, all_ in rules.PRESSURES.items() for spelling in all_}
-
     def sql(d: Dialect) -> str:
         p = f"upper(trim({x}))"
         folded = f"trim({d.replace(p, r'[#\s.]+', ' ')})"
         pn, n = d.extract(p, r"^PN\s*(\d+)$"), d.extract(p, r"(\d+)")
-        return f"""CASE WHEN {x} IS NULL OR {x} = '' THEN NULL ELSE coalesce({d.one_of(p, table)}, {d.one_of(folded, table)},
-            'PN' || {pn}, {d.one_of(n, table)}, 'CL' || {n}, {p}) END"""
+        return f"""CASE WHEN {x} IS NULL OR {x} = '' THEN NULL ELSE coalesce({d.one_of(p, rules.PRESSURES)}, {d.one_of(folded, rules.PRESSURES)},
+            'PN' || {pn}, {d.one_of(n, rules.PRESSURES)}, 'CL' || {n}, {p}) END"""
 
     return sql
 
@@ -123,10 +120,9 @@ def power(x: str) -> Rule:
         s = f"upper(trim({x}))"
         kw = f"cast({d.extract(s, r'(\d+(?:\.\d+)?)\s*(?:KW|KILOWATT)')} as double)"
         hp = f"cast({d.extract(s, r'(\d+(?:\.\d+)?)\s*(?:HP|H\.P\.)')} as double)"
-        known = " ".join(f"WHEN {kw} = {k}e0 THEN '{v}'" for k, v in rules.KILOWATTS.items())
         converted = f"round({kw} * {rules.HP_PER_KW}e0, 1)"
         return f"""CASE WHEN {x} IS NULL OR {x} = '' THEN NULL
-            WHEN {kw} IS NOT NULL THEN concat(CASE {known} ELSE {_number_text(d, converted)} END, ' HP')
+            WHEN {kw} IS NOT NULL THEN concat({d.one_of(kw, rules.KILOWATTS, _number_text(d, converted), numbers=True)}, ' HP')
             WHEN {hp} IS NOT NULL THEN concat({_number_text(d, hp)}, ' HP') ELSE {s} END"""
 
     return sql
@@ -142,7 +138,7 @@ def material(x: str) -> Rule:
         s, cases = f"upper(trim({x}))", []
         for family, base, grades in rules.MATERIALS:
             for grade, names in grades:
-                pattern = r"\b(?:" + names.replace(".", r"\.") + r")\b"
+                pattern = r"\b(?:" + "|".join(names).replace(".", r"\.") + r")\b"
                 cases.append(f"WHEN {s} = '{grade}' OR {d.matches(s, pattern)} THEN '{grade}|{family}|{base}'")
         for pattern, *names in rules.MATERIAL_WORDS:
             cases.append(f"WHEN {d.matches(s, pattern)} THEN '{'|'.join(names)}'")
@@ -188,7 +184,7 @@ def expand_synonyms(x: str) -> Rule:
 
 def expected_attributes(of: str) -> Rule:
     """How many attributes a category's profile lists."""
-    counts = {c: str(sum(len(p.split()) for p in both)) for c, both in rules.PROFILES.items()}
+    counts = {c: str(sum(map(len, p.values()))) for c, p in rules.PROFILES.items()}
     default = counts.pop("DEFAULT")
     return lambda d: f"cast({d.one_of(of, counts, chr(39) + default + chr(39))} as int)"
 
@@ -196,7 +192,7 @@ def expected_attributes(of: str) -> Rule:
 def is_critical(attributes: str, of: str) -> Rule:
     """Whether one of ``attributes`` is critical for a category."""
     wanted = set(attributes.split())
-    yes = [c for c, (critical, _) in rules.PROFILES.items() if wanted & set(critical.split())]
+    yes = [c for c, p in rules.PROFILES.items() if wanted & set(p["critical"])]
     named = ", ".join(f"'{c}'" for c in yes if c != "DEFAULT") or "''"
     others = ", ".join(f"'{c}'" for c in rules.PROFILES if c != "DEFAULT")
     return lambda d: f"({of} IN ({named})" + (f" OR {of} NOT IN ({others}))" if "DEFAULT" in yes else ")")

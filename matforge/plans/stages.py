@@ -7,9 +7,14 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept on the executors' disks.
+    """``df``, computed once, when it is first needed, and kept on the executors' disks.
 
     Long rules stay on one side of the border: the optimizer does not copy them into joins and filters, where they would be
     planned and evaluated again and again.  A lost block is computed anew from its lineage.
     """
     return df.persist(StorageLevel.DISK_ONLY)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df``, computed now and cut from its lineage in the shared folder of ``spark.checkpoint.dir``; ``staged`` without one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else staged(df)

@@ -43,7 +43,7 @@ def clean_name(name: str) -> str:
 def map_columns(headers: list[str]) -> tuple[dict[str, str], list[str]]:
     """Canonical field by header, each field once, and the headers that are left."""
     spaced = lambda s: s.lower().replace("-", " ").replace("_", " ")
-    known = {f: {spaced(a) for a in names.split("|")} for f, names in rules.FIELD_ALIASES.items()}
+    known = {f: set(map(spaced, names)) for f, names in rules.FIELD_ALIASES.items()}
     mapped: dict[str, str] = {}
     left = []
     for h in filter(None, map(clean_name, headers)):
