@@ -169,10 +169,7 @@ _ITEM = [{"item_id": _item_id, "unit_of_measure": text.unit("uom")}]
 #: Words in lower case, without repeats, for a similarity that both engines compute.
 _WORDS = {SPARK: "array_distinct(filter(split(lower(description), '[^a-z0-9]+'), w -> w <> ''))", DUCK: "list_distinct(list_filter(string_split_regex(lower(description), '[^a-z0-9]+'), lambda w: w <> ''))"}
 _ITEMS: Layers = [*_ITEM, *_SPECS, *gate.material_layers(), {"words": lambda d: _WORDS[d]}]
-#: Disjoint blocks of ten groups: a slice of the pairs, small enough for the SQL.  Items of one category in different blocks
-#: do not meet here; they do in ``dense_match`` and ``mint_codes``.
-_BLOCK = [{"block": lambda d: d.div("g", 10)}]
-_CONDITION = "(a.category = b.category OR a.category = 'OTHER' OR b.category = 'OTHER') AND a.block = b.block AND a.ord < b.ord AND a.source_cpse <> b.source_cpse"
+_CONDITION = "(a.category = b.category OR a.category = 'OTHER' OR b.category = 'OTHER') AND a.ord < b.ord AND a.source_cpse <> b.source_cpse"
 _SIDES = [*gate.ITEM_COLUMNS, "ord", "words"]
 
 
@@ -180,12 +177,15 @@ def _pairs_sql() -> str:
     cols = ", ".join(f"{s}.{c} AS {c}_{s}" for c in _SIDES for s in "ab")
     common = "len(list_intersect(a.words, b.words))"
     sem = f"round_even({common} / cast(len(a.words) + len(b.words) - {common} AS double), 3)"
-    return f"WITH i AS (SELECT * FROM ({layered_sql(catalog_oracle(), [*_ITEMS, *_BLOCK], DUCK)})) SELECT {cols}, {sem} AS semantic FROM i a JOIN i b ON {_CONDITION}"
+    return f"WITH i AS (SELECT * FROM ({layered_sql(catalog_oracle(), _ITEMS, DUCK)})) SELECT {cols}, {sem} AS semantic FROM i a JOIN i b ON {_CONDITION}"
 
 
-def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = with_layers(catalog(spark, sf_dir), [*_ITEMS, *_BLOCK]).select(*_SIDES, "block")
-    pairs = candidates.blocked_pairs(staged(items), ["block"])
+def scored_pairs(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """Every pair of items that the blocking by category lets meet, with a similarity of words (or ``columns`` only)."""
+    items = with_layers(catalog(spark, sf_dir), _ITEMS).select(*_SIDES)
+    if columns:
+        return candidates.blocked_pairs(items.select(*columns))
+    pairs = candidates.blocked_pairs(staged(items))
     common = "size(array_intersect(words_a, words_b))"
     return pairs.withColumn("semantic", F.expr(f"bround({common} / double(size(words_a) + size(words_b) - {common}), 3)"))
 
@@ -194,10 +194,10 @@ _DECIDED = layered_sql(_pairs_sql(), [*gate.evaluation_layers(), *gate.decision_
 
 
 def decided_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(gate.decide(staged(gate.evaluate(scored_pairs(spark, sf_dir)))))
+    return gate.decide(gate.evaluate(scored_pairs(spark, sf_dir)))
 
 
-query("blocked_pairs_count", f"SELECT category_a AS category, cast(count(*) AS bigint) AS pairs FROM ({_pairs_sql()}) GROUP BY 1")(lambda spark, d: scored_pairs(spark, d).groupBy(F.col("category_a").alias("category")).agg(F.count("*").alias("pairs")))
+query("blocked_pairs_count", f"SELECT category_a AS category, cast(count(*) AS bigint) AS pairs FROM ({_pairs_sql()}) GROUP BY 1")(lambda spark, d: scored_pairs(spark, d, ["ord", "category", "source_cpse"]).groupBy(F.col("category_a").alias("category")).agg(F.count("*").alias("pairs")))
 _EVALUATED = "item_id_a, item_id_b, evaluated_specs, total_expected, matching_specs, match_ratio, coverage_ratio, technical_score, conflicts, unverified"
 query("gate_eval", f"SELECT {_EVALUATED} FROM ({_DECIDED})")(lambda spark, d: decided_pairs(spark, d).selectExpr(*_EVALUATED.split(", ")))
 _RECORD = "item_id_a, item_id_b, semantic, unit_score, confidence_score, status, sub_classification, block_reason"
@@ -367,8 +367,8 @@ FROM m LEFT JOIN map x ON x.code = item_id_a LEFT JOIN map y ON y.code = item_id
 
 
 def _queue(spark: SparkSession, sf_dir: str, status: str | None = None) -> DataFrame:
-    matches = _linked(spark, sf_dir).filter("status <> 'no_match'")
-    items = _items(spark, sf_dir)
+    matches = staged(_linked(spark, sf_dir)).filter("status <> 'no_match'")
+    items = staged(_items(spark, sf_dir).select("ord", "g", "k", "item_id", "source_cpse", "description"))
     mapping = items.filter("g % 3 = 0 and k < 2").select(F.col("ord").alias("id"), registry.code_of(F.col("g")).alias("cnmc_code"), "source_cpse", F.col("item_id").alias("original_code"))
     first = F.expr("ord div 1000000000")
     verdict = F.when(first % 11 == 0, "rejected").when(first % 13 == 0, "approved")
