@@ -184,12 +184,29 @@ def scored_pairs(spark: SparkSession, sf_dir: str, columns: list[str] | None = N
     """Every pair of items that the blocking by category lets meet, with a similarity of words (or ``columns`` only)."""
     items = with_layers(catalog(spark, sf_dir), _ITEMS).select(*_SIDES)
     if columns:
-        return candidates.blocked_pairs(items.select(*columns))
+        return candidates.blocked_pairs(staged(items.select(*columns)))
     pairs = candidates.blocked_pairs(staged(items))
+    return with_overlap(pairs)
+
+
+def with_overlap(pairs: DataFrame) -> DataFrame:
     common = "size(array_intersect(words_a, words_b))"
     return pairs.withColumn("semantic", F.expr(f"bround({common} / double(size(words_a) + size(words_b) - {common}), 3)"))
 
 
+def decided_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decided pairs of classes of items, with ``pairs``: how many pairs of items each stands for.
+
+    Items that the gate cannot tell apart form one class: a decision depends on their attributes only, and not on which of two
+    comes first.  Items without a source may pair with each other, so each is a class of its own.
+    """
+    items = with_layers(catalog(spark, sf_dir), _ITEMS).withColumn("_alone", F.when(F.coalesce("source_cpse", F.lit("")) == "", F.col("ord")))
+    kinds = [c for c in _SIDES if c not in ("ord", "item_id")]
+    classes = staged(items.groupBy(*kinds, "_alone").agg(F.min("ord").alias("ord"), F.count("*").alias("n")).drop("_alone"))
+    scored = with_overlap(candidates.blocked_pairs(classes)).withColumn("pairs", F.col("n_a") * F.col("n_b"))
+    return gate.decide(gate.evaluate(scored))
+
+
 _DECIDED = layered_sql(_pairs_sql(), [*gate.evaluation_layers(), *gate.decision_layers()], DUCK)
 
 
@@ -202,7 +219,7 @@ _EVALUATED = "item_id_a, item_id_b, evaluated_specs, total_expected, matching_sp
 query("gate_eval", f"SELECT {_EVALUATED} FROM ({_DECIDED})")(lambda spark, d: decided_pairs(spark, d).selectExpr(*_EVALUATED.split(", ")))
 _RECORD = "item_id_a, item_id_b, semantic, unit_score, confidence_score, status, sub_classification, block_reason"
 query("match_decisions", f"SELECT {_RECORD} FROM ({_DECIDED})")(lambda spark, d: decided_pairs(spark, d).selectExpr(*_RECORD.split(", ")))
-query("gate_status_counts", f"SELECT status, sub_classification, cast(count(*) AS bigint) AS pairs FROM ({_DECIDED}) GROUP BY ALL")(lambda spark, d: decided_pairs(spark, d).groupBy("status", "sub_classification").agg(F.count("*").alias("pairs")))
+query("gate_status_counts", f"SELECT status, sub_classification, cast(count(*) AS bigint) AS pairs FROM ({_DECIDED}) GROUP BY ALL")(lambda spark, d: decided_classes(spark, d).groupBy("status", "sub_classification").agg(F.sum("pairs").alias("pairs")))
 _REASONS = "SELECT st, attribute, cast(count(*) AS bigint) AS pairs FROM ({u}) WHERE st IS NOT NULL GROUP BY st, attribute"
 query("spec_detail_counts", _REASONS.format(u=" UNION ALL ".join(f"SELECT st_{n} AS st, '{n}' AS attribute FROM d" for n, *_ in gate.ATTRIBUTES)).replace("SELECT st, attribute, cast", f"WITH d AS MATERIALIZED ({_DECIDED}) SELECT st, attribute, cast", 1))(
     lambda spark, d: decided_pairs(spark, d).select(F.explode(F.array(*(F.struct(F.col(f"st_{n}").alias("st"), F.lit(n).alias("attribute")) for n, *_ in gate.ATTRIBUTES))).alias("x")).select("x.*").filter("st is not null").groupBy("st", "attribute").agg(F.count("*").alias("pairs"))
