@@ -9,9 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..stages import numbered, saved
+
 REGISTRY = "cnmc_code string, canonical_description string, confidence_at_merge double, merge_type string, created_at timestamp_ntz"
 MAPPING = "id long, cnmc_code string, source_cpse string, original_code string"
 AUDIT = "entry_id long, cnmc_code string, action string, actor string, details string, timestamp timestamp_ntz"
@@ -28,7 +30,7 @@ class Tables:
 
 
 def empty(spark: SparkSession) -> Tables:
-    """Fresh tables: creating them, and resetting them to nothing."""
+    """Fresh tables: creating them, and resetting them to nothing (``save`` of these over a folder drops what was there)."""
     return Tables(*(spark.createDataFrame([], s) for s in (REGISTRY, MAPPING, AUDIT, DECISIONS)))
 
 
@@ -53,13 +55,18 @@ def code_of(number: Column) -> Column:
 
 
 def _labels(edges: DataFrame) -> DataFrame:
-    """``node, group``: the smallest node that each node of ``edges`` (``x, y``) reaches; checkpointed each round."""
-    both = edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-    now = both.select(F.col("x").alias("node")).distinct().withColumn("group", F.col("node"))
+    """``node, group``: the smallest node that each node of ``edges`` (``x, y``) reaches.
+
+    Each round takes the smallest label among neighbours and then that label's own label, which halves the way to go: rounds
+    grow with the logarithm of the longest chain.  Every round is cut from its lineage.
+    """
+    both = saved(edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    now = both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("group"))
     while True:
         seen = both.join(now.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("group").alias("g"))
-        step = now.join(seen, "node").select("node", F.col("group").alias("old"), F.least("group", "g").alias("group"))
-        step = step.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else step.persist()
+        near = now.join(seen, "node").select("node", F.col("group").alias("old"), F.least("group", "g").alias("g"))
+        jump = now.select(F.col("node").alias("g"), F.col("group").alias("far"))
+        step = saved(near.join(jump, "g", "left").select("node", "old", F.least("g", F.coalesce("far", "g")).alias("group")))
         now = step.select("node", "group")
         if step.filter("old <> group").isEmpty():
             return now
@@ -97,7 +104,7 @@ def mint(t: Tables, matches: DataFrame, action: str, actor: str, at) -> Tables:
     ``at`` is the time of the entries.
     """
     node = lambda s: F.concat_ws("\u0001", f"source_cpse_{s}", f"item_{s}")
-    m = matches.withColumns({"node_a": node("a"), "node_b": node("b")})
+    m = saved(matches.withColumns({"node_a": node("a"), "node_b": node("b")}))
     bad = m.filter("source_cpse_a is null or source_cpse_b is null or item_a is null or item_b is null or canonical_description is null or confidence_score is null")
     if not bad.isEmpty():
         raise ValueError("matches need items, sources, a description and a confidence")
@@ -105,12 +112,13 @@ def mint(t: Tables, matches: DataFrame, action: str, actor: str, at) -> Tables:
     for s in "ab":
         m = m.join(old.select(F.col("node").alias(f"node_{s}"), F.col("cnmc_code").alias(f"code_{s}")), f"node_{s}", "left")
     groups = _labels(m.select(F.col("node_a").alias("x"), F.col("node_b").alias("y")))
-    m = m.join(groups.select(F.col("node").alias("node_a"), "group"), "node_a")
+    m = saved(m.join(groups.select(F.col("node").alias("node_a"), "group"), "node_a"))
     needed = m.select("ord", "node_a", "node_b", F.col("code_a").cast("string"), F.col("code_b").cast("string"), "group")
-    effects = needed.groupBy("group").applyInPandas(_fold(), "ord long, effect string, code string, first string, second string")
+    # a fold is a sequence: one connected group of matches, however large, is one task
+    effects = saved(needed.groupBy("group").applyInPandas(_fold(), "ord long, effect string, code string, first string, second string"))
     fresh = numbered(effects.filter("effect = 'mint'").select("ord"), next_number(t.registry))
     effects = effects.join(fresh.select(F.concat(F.lit("#"), "ord").alias("code"), code_of(F.col("number")).alias("minted")), "code", "left")
-    done = m.join(effects.withColumn("cnmc_code", F.coalesce("minted", "code")).drop("code", "minted"), "ord")
+    done = saved(m.join(effects.withColumn("cnmc_code", F.coalesce("minted", "code")).drop("code", "minted"), "ord"))
     when = F.lit(at).cast("timestamp_ntz")
     registry = done.filter("effect = 'mint'").select("cnmc_code", "canonical_description", F.col("confidence_score").alias("confidence_at_merge"), F.lit(action).alias("merge_type"), when.alias("created_at"))
     added = done.select("ord", "cnmc_code", F.explode(F.filter(F.array(F.struct(F.lit(0).alias("i"), F.col("first").alias("n")), F.struct(F.lit(1).alias("i"), F.col("second").alias("n"))), lambda x: x["n"].isNotNull())).alias("x"))
@@ -122,18 +130,6 @@ def mint(t: Tables, matches: DataFrame, action: str, actor: str, at) -> Tables:
     return replace(t, registry=t.registry.unionByName(registry), mapping=t.mapping.unionByName(mapping), audit=_audited(t.audit, entries))
 
 
-def numbered(rows: DataFrame, start: int, order: str = "ord") -> DataFrame:
-    """``rows`` with ``number``, from ``start`` on in the order of ``order``: ranges are sorted apart and offset by the sizes of
-    the ranges before, so no task holds all rows."""
-    parts = rows.repartitionByRange(max(1, rows.sparkSession.sparkContext.defaultParallelism), order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    sizes, total = {}, start
-    for r in sorted(parts.groupBy("_p").count().collect()):
-        sizes[r["_p"]], total = total, total + r["count"]
-    offset = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]) if sizes else F.create_map(F.lit(-1), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(order))
-    return parts.withColumn("number", (F.element_at(offset, F.col("_p")) + within - 1).cast("long")).drop("_p")
-
-
 def _audited(audit: DataFrame, entries: DataFrame) -> DataFrame:
     top = audit.agg(F.max("entry_id")).first()[0] or 0
     new = numbered(entries, top + 1).select(F.col("number").alias("entry_id"), "cnmc_code", "action", "actor", "details", "timestamp")

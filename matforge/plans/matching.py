@@ -13,7 +13,7 @@ from ..functions import rules, similarity, specs, text
 from ..functions.dialect import column
 from ..operators import analytics, candidates, gate, registry
 from ..sources import catalogs
-from .stages import staged
+from ..stages import staged
 
 
 def enriched(items: DataFrame, encoder: similarity.Encoder = similarity.hashed_encoder) -> DataFrame:
@@ -54,9 +54,7 @@ def upload(spark: SparkSession, tables: registry.Tables, catalog: DataFrame, con
 
     Raises if the file is no CSV or has no valid row.
     """
-    if not name.lower().endswith(".csv"):
-        raise ValueError("only .csv files are taken")
-    rows = catalogs.rows_of_bytes(spark, content, name).persist()
+    rows = catalogs.rows_of_bytes(spark, content, _csv(name)).persist()
     report = catalogs.report(rows, cpse)
     new = catalogs.standardized(rows, cpse)
     if new.isEmpty():
@@ -69,7 +67,13 @@ def upload(spark: SparkSession, tables: registry.Tables, catalog: DataFrame, con
     return tables, grown, matches, report
 
 
-def preview(spark: SparkSession, content: bytes, cpse: str) -> tuple[DataFrame, DataFrame]:
-    """The report and the first five valid rows."""
-    rows = catalogs.rows_of_bytes(spark, content)
+def _csv(name: str) -> str:
+    if not (name or "").lower().endswith(".csv"):
+        raise ValueError("only .csv files are taken")
+    return name
+
+
+def preview(spark: SparkSession, content: bytes, cpse: str, name: str = "upload.csv") -> tuple[DataFrame, DataFrame]:
+    """The report and the first five valid rows; raises, as ``upload`` does, if the file is no CSV."""
+    rows = catalogs.rows_of_bytes(spark, content, _csv(name))
     return catalogs.report(rows, cpse), catalogs.standardized(rows, cpse).orderBy("ord").limit(5)

@@ -11,9 +11,9 @@ from ..functions import similarity, specs, text
 from ..functions.dialect import DUCK, SPARK, Layers, layered_sql, with_layers
 from ..operators import analytics, candidates, gate, prototypes, registry
 from ..sources import catalogs
+from ..stages import staged
 from . import matching
 from .catalog_view import catalog, catalog_oracle
-from .stages import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -310,8 +310,6 @@ def mint_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = staged(matching.run(_items(spark, sf_dir).select("ord", "item_id", "source_cpse", "description", "uom"))).filter("status = 'auto_linked'")
     best_first = registry.numbered(found.withColumn("_o", F.struct(-F.col("confidence_score"), "item_a", "item_b")), 1, "_o")
     linked = best_first.select(F.col("number").alias("ord"), "match_id", "item_a", "item_b", "source_cpse_a", "source_cpse_b", F.col("item_a").alias("canonical_description"), "confidence_score")
-    if spark.sparkContext.getCheckpointDir():  # minting reads it many times: without the plan behind it, the driver stays small
-        linked = linked.checkpoint()
     t = registry.mint(registry.empty(spark), linked, "auto_linked", "tier2_system", _dt())
     return t.mapping.select("cnmc_code", "source_cpse", "original_code")
 

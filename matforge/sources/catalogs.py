@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, specs, text
 from ..functions.dialect import column
+from ..stages import numbered
 
 FIELDS = list(rules.FIELD_ALIASES)
 REQUIRED = FIELDS[:3]
@@ -55,6 +56,8 @@ def map_columns(headers: list[str]) -> tuple[dict[str, str], list[str]]:
     return mapped, left
 
 
+#: Bound of the rows of one file, where rows of several are numbered together.
+ROWS_OF_A_FILE = 1 << 40
 _ROW = "path string, row_idx long, cells map<string,string>, mapping map<string,string>, unmapped array<string>, problem string"
 
 
@@ -138,7 +141,8 @@ def report(rows: DataFrame, default_cpse: str | None = None) -> DataFrame:
 
 
 def standardized(rows: DataFrame, default_cpse: str | None = None) -> DataFrame:
-    """Valid rows in the catalog's form, with nested ``specs``; ``ord`` follows the file."""
+    """Valid rows in the catalog's form, with nested ``specs``; ``ord`` follows the file, and ``_file`` (its number) if it is there."""
+    before = F.col("_file") * ROWS_OF_A_FILE if "_file" in rows.columns else F.lit(0)
     ok = validated(rows, default_cpse).filter("size(errors) = 0")
     empty = lambda c: F.nullif(F.col(c), F.lit(""))
     ok = ok.withColumn("clean_description", column(text.clean("material_description")))
@@ -147,7 +151,7 @@ def standardized(rows: DataFrame, default_cpse: str | None = None) -> DataFrame:
     listed = F.expr("array_contains(split(standards, ','), specification)")
     found = found.withColumn("standards", F.when(own & ~listed, F.concat_ws(",", F.nullif("standards", F.lit("")), "specification")).otherwise(F.col("standards")))
     return found.select(
-        F.col("row_idx").alias("ord"), "source_cpse", "material_code", "material_description", "uom",
+        (F.col("row_idx") + before).alias("ord"), "source_cpse", "material_code", "material_description", "uom",
         *(empty(c).alias(c) for c in FIELDS[3:] if c != "source_cpse"),
         F.col("cells").alias("raw_data"), "item_id",
         F.col("material_description").alias("raw_description"), F.col("clean_description").alias("normalized_description"), "clean_description",
@@ -156,7 +160,10 @@ def standardized(rows: DataFrame, default_cpse: str | None = None) -> DataFrame:
 
 
 def read_catalog(spark: SparkSession, path: str, cpse: str = "GENERIC") -> DataFrame:
-    return standardized(read_rows(spark, path), cpse)
+    """The catalog of all CSV files at ``path``.  ``ord`` follows the files by name, then their rows: no two rows share one."""
+    rows = read_rows(spark, path)
+    files = numbered(spark.read.format("binaryFile").load(path).select("path"), 0, "path").withColumnRenamed("number", "_file")
+    return standardized(rows.join(files, "path"), cpse)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema=None) -> DataFrame:
