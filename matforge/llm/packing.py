@@ -33,64 +33,74 @@ FLUSH = 1 << 20
 CLASSES = 64
 
 
-class WordEncoder:
-    """Ids of whole texts by a public tokenizer that never joins across ASCII white space.
+class WordEncoder(dict):
+    """Ids of words by a public tokenizer that never joins across ASCII white space: word to little-endian 32-bit numbers.
 
-    Each distinct word is encoded once and kept, up to ``keep`` words.  A word is its lower-cased body and a tail of
-    punctuation: the tokenizer lower-cases and cuts between letters or digits and other characters, so both are encoded apart.
-    Words that may hold a special token stay as they are.
+    A word that is not there is encoded and kept.  When ``keep`` are, they become the older half, from which words that come
+    again return; what does not come again goes at the next turn.  A word is its lower-cased body and a tail of punctuation:
+    the tokenizer lower-cases and cuts between letters or digits and other characters, so both are encoded apart.  Words that
+    may hold a special token stay as they are.
     """
 
     TAIL = b".,!*#$%&|"
     ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
-    def __init__(self, tokenizer_json: str, keep: int = 400_000):
+    def __init__(self, tokenizer_json: str, keep: int = 300_000):
+        super().__init__()
         single_threaded()
         many_objects()
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_str(tokenizer_json), keep
-        self.known: dict[bytes, bytes] = {}  # ids as little-endian unsigned 32-bit numbers
-        self.parts: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
         self.letters = regex.compile(r"\p{L}+").fullmatch
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabet: these stand for themselves
         self.bytes = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
 
-    def _halves(self, word: bytes) -> tuple[bytes, bytes]:
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.keep:
+            self.older = dict(self)
+            self.clear()
+            self.tails.clear()
+        got = self.older.get(word)
+        if got is None:
+            got = self._ids(word)
+        self[word] = got
+        return got
+
+    def _ids(self, word: bytes) -> bytes:
         if b"<|" in word:
-            return word, b""
-        word = word.lower()
-        body = word.rstrip(self.TAIL)
-        return (body, word[len(body) :]) if body and body[-1] in self.ENDS else (word, b"")
-
-    def _learn(self, parts: list[bytes]) -> None:
-        """Ids of new parts: words of lower-case letters go straight to the merge model, others through the whole tokenizer."""
-        merge, other = self.tokenizer.model.tokenize, []
-        for p in parts:
-            w = p.decode("utf-8", "replace")
-            if w.isalpha() and w.islower() and self.letters(w) and is_normalized("NFC", w):
-                self.parts[p] = _raw([t.id for t in merge(p.decode("latin-1").translate(self.bytes))])
-            else:
-                other.append((p, w))
-        for at in range(0, len(other), 2048):
-            some = other[at : at + 2048]
-            for (p, _), e in zip(some, self.tokenizer.encode_batch_fast([w for _, w in some], add_special_tokens=False)):
-                self.parts[p] = _raw(e.ids)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, four bytes each."""
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.known) > self.keep:
-            self.known.clear()
-        if len(self.parts) > self.keep:
-            self.parts = {b"": b""}
-        new = set().union(*split) - self.known.keys()
-        halves = [(w, *self._halves(w)) for w in new]
-        self._learn(list({p for h in halves for p in h[1:]} - self.parts.keys()))
-        for w, body, tail in halves:
-            self.known[w] = self.parts[body] + self.parts[tail]
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            return self._whole(word)
+        low = word.lower()
+        body = low.rstrip(self.TAIL)
+        if body == word or not body or body[-1] not in self.ENDS:
+            return self._part(low)
+        tail = low[len(body) :]
+        if not tail:
+            return self[body]
+        after = self.tails.get(tail)
+        if after is None:
+            after = self.tails[tail] = self._part(tail)
+        return self[body] + after
+
+    def _part(self, part: bytes) -> bytes:
+        """Words of lower-case letters go straight to the merge model, others through the whole tokenizer."""
+        if part.isalpha() and part.isascii():
+            return _raw([t.id for t in self.merge(part.decode("ascii"))])
+        w = part.decode("utf-8", "replace")
+        if w.isalpha() and w.islower() and self.letters(w) and is_normalized("NFC", w):
+            return _raw([t.id for t in self.merge(part.decode("latin-1").translate(self.bytes))])
+        return self._whole(part)
+
+    def _whole(self, word: bytes) -> bytes:
+        return _raw(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts."""
+        get = self.__getitem__
+        return [b"".join(map(get, t.encode("utf-8", "surrogatepass").split())) for t in texts]
 
 
 def _raw(ids: list[int]) -> bytes:
@@ -229,7 +239,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
         return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], schema=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, bins, ready = encoder_of(shipped.value), Bins(capacity), []
+        encode, bins, ready = encoder_of(shipped.value).texts, Bins(capacity), []
         number = TaskContext.get().partitionId() << 40
         end = struct.pack("<I", end_id)
         for big in batches:
