@@ -70,6 +70,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_known(rows: DataFrame, known: DataFrame, keys: list[str], weight: str = "k", share: int = 1000) -> DataFrame:
+    """``rows`` left-joined with ``known``, which has one row for each key, and ``weight``: how many rows of ``rows`` bear it.
+
+    Keys that a ``share``-th of all weight or more falls on would make hot tasks.  There are at most ``share`` of them, so
+    these, and only these, are broadcast; the others meet in a shuffle.  Rows with a null in a key find nothing.
+    """
+    total = known.agg(F.sum(weight)).first()[0] or 0
+    hot = known.filter(F.col(weight) * share >= total) if total else known.limit(0)
+    names = [c for c in known.columns if c not in (*keys, weight)]
+    near = rows.join(F.broadcast(hot.select(*keys, *(F.col(c).alias(f"_hot_{c}") for c in names), F.lit(True).alias("_hot"))), keys, "left")
+    rest = known.filter(F.col(weight) * share < total).drop(weight)
+    # rows that are served already go on without the shuffle
+    cold = near.filter("_hot is null").drop("_hot", *(f"_hot_{c}" for c in names)).join(rest, keys, "left")
+    served = near.filter("_hot").drop("_hot")
+    served = served.withColumnsRenamed({f"_hot_{c}": c for c in names})
+    return cold.unionByName(served)
+
+
 def held_out(doc_id: str, folds: int):
     """True where crc32 of the id's decimal text leaves remainder 0."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0

@@ -271,12 +271,12 @@ def test_warc_payloads(spark):
 def test_warc_errors():
     parts = list(warc.page_records(1, "u", "abc" * 100, None, "", "00000000-0000-0000-0000-000000000001", 100, 30))
     assert len(parts) > 3 and "WARC-Segment-Total-Length" in parts[-1]
-    assert [h["warc-type"] for h, _ in warc.parse_records("".join(p + warc.END for p in parts).encode())] == ["response"] + ["continuation"] * (len(parts) - 1)
+    assert [h["warc-type"] for h, _ in warc.parse_records([bytes([x]) for x in "".join(p + warc.END for p in parts).encode()])] == ["response"] + ["continuation"] * (len(parts) - 1)
     for broken in (b"5\r\nabc", b"3\r\nabcX\r\n0\r\n\r\n"):
         with pytest.raises(ValueError):
             warc.dechunked(broken)
     with pytest.raises(ValueError):
-        list(warc.parse_records(parts[0].encode()))
+        list(warc.parse_records([parts[0].encode()]))
 
 
 # ---- packing
