@@ -385,11 +385,12 @@ def test_pieces(spark):
     texts = [" ".join(words(50, i)) for i in range(20)] + [t or "" for t in ODD] + ["  a  b ", "\n\ttabs", "aaaab" * 30, " " * 90, "naïve Größe—isn't 2024", "<s> <0x0A>", "x" * 3000]
     for t in texts:
         assert codec.encode(t) == sp.encode(t) and codec.decode(codec.encode(t)) == t
-    stream, out = pieces.Stream(codec.v, {}, {}), []
-    for c in pieces.SPACE + "streaming▁over▁a▁long▁text" * 20:
-        out += stream.feed(c)
-        assert len(stream.text) < 200  # the window stays bounded
-    assert out + stream.finish() == sp.encode("streaming over a long text" * 20)
+    for size in (1, 5, 10_000):
+        stream, out, whole = pieces.Stream(codec.v, pieces.Transitions(codec.v)), [], pieces.SPACE + "streaming▁over▁a▁long▁text" * 20
+        for at in range(0, len(whole), size):
+            out += stream.feed(whole[at : at + size])
+            assert len(stream.text) < 200  # the window stays bounded
+        assert [i for p in out + stream.finish() for i in codec.v.ids(p)] == sp.encode("streaming over a long text" * 20)
     df = docs(spark, ODD, n_ids="clash")
     assert all(r["round_trip"] for r in pieces.round_trip(df, path).collect())
     back = pieces.decode_ids(pieces.encode_texts(df, path), path).orderBy("doc_id").collect()
