@@ -67,7 +67,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that ``written`` made and nothing reads any more."""
+    path = getattr(table, "_written_at", None)
+    if path:
+        p = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _made[:] = [m for m in _made if m[1] != path]
 
 
 def join_known(rows: DataFrame, known: DataFrame, keys: list[str], weight: str = "k", share: int = 1000) -> DataFrame:

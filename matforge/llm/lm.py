@@ -8,8 +8,9 @@ Every training token is used.  Counts are exact sums over the corpus.  The weigh
 partition runs stochastic steps over its own tokens, their weights are averaged in a tree, and the next part of the corpus
 starts from the mean.  For scoring, two matrix products of exponentials give the normaliser of every context at once.
 
-Frequent words (a fixed number) are looked up in the workers.  The rest meet their counts in a join on the word; such words
-are rare by definition, so no key of that join is hot.
+Frequent words (a fixed number) are looked up in the workers.  The rest meet their counts in a join on the word.  Words of the
+training rows in it are rare by definition; a word that stands in held-out rows only may be frequent, and its rows are then one
+side of a left join that Spark's adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ END = b""  # the token after the last word of a text; no word is empty
 
 @dataclass
 class Settings:
-    core: int = 896  # words that are symbols
+    core: int = 1920  # words that are symbols: with the classes, tables of 2048 x 2048
     classes: int = 128
     dim: int = 16
     lookup: int = 131_072  # words whose counts every worker holds

@@ -36,7 +36,8 @@ OFFSETS = np.concatenate([[0], np.cumsum(WIDTHS)[:-1]])
 
 @dataclass
 class Settings:
-    max_rows_per_class: int = 1500  # bound of the labelled sample
+    max_rows_per_class: int = 1500  # bounds of the labelled sample
+    max_bytes: int = 64 << 20
     epochs: int = 8
     rate: float = 0.3
     share: float = 0.5  # of word characters in content lines, to stay

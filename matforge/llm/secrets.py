@@ -42,9 +42,15 @@ DICTIONARY = (
     "index count list map item time date version commit branch master main build release public private"
 ).split()
 
+#: Neighbouring letters inside words of the dictionary; others are odd.
+PAIRS, LETTERS = sorted({w[i : i + 2] for w in DICTIONARY for i in range(len(w) - 1)}), "[a-z][a-z]"
+
 FEATURES = {
     "chars": "double(length(c))",
     "moves": "regexp_count(c, '(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]|(?<=[^a-zA-Z0-9])[a-zA-Z0-9]') / double(length(c))",
+    "to_digit": "regexp_count(c, '[A-Za-z](?=[0-9])') / double(length(c))",
+    "to_upper": "regexp_count(c, '[a-z](?=[A-Z])') / double(length(c))",
+    "odd_pairs": f"regexp_count(lower(c), '(?={LETTERS})(?!{'|'.join(PAIRS)})') / double(length(c))",
     "distinct": "size(array_distinct(split(c, ''))) / double(length(c))",
     "digits": "length(regexp_replace(c, '[^0-9]', '')) / double(length(c))",
     "words": f"1 - length(regexp_replace(lower(c), '{'|'.join(sorted(DICTIONARY, key=len, reverse=True))}', '')) / double(length(c))",
@@ -225,14 +231,20 @@ def with_findings(docs: DataFrame, forest: list, s: Settings = Settings(), text:
 
 
 def findings(docs: DataFrame, forest: list, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """One row for each candidate: ``doc_id, finding, candidate, before, after, score, is_secret``, in the text's order."""
+    """One row for each candidate: ``doc_id, finding, candidate, before, after, score, is_secret``, in the text's order.
+
+    Null and empty texts give none; a null ``path`` is an empty one; null ids stay, and rows that share an id are numbered apart.
+    """
     keep = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("_t"), (docs[path] if path else F.lit("")).alias("_p"))
     rows = with_findings(keep, forest, s, "_t", "_p").filter(F.size("_found") > 0).select("doc_id", F.posexplode("_found").alias("finding", "f"))
     return rows.select("doc_id", "finding", "f.candidate", "f.before", "f.after", "f.score", (F.col("f.score") >= s.threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, forest: list, s: Settings = Settings(), text: str = "text", path: str | None = None) -> DataFrame:
-    """``docs`` with each secret in ``text`` replaced by the mask; other texts, null among them, stay as they are."""
+    """``docs`` with each secret in ``text`` replaced by the mask; other texts, null and empty ones among them, stay as they are.
+
+    A null ``path`` is an empty one.  Rows are masked one by one, repeated ones alike; other columns stay.
+    """
     found = with_findings(docs, forest, s, text, path)
     put = f"""if(exists(_found, f -> f.score >= {s.threshold}D), array_join(transform(_parts, (x, i) ->
         if(i % 2 = 1 and _found[cast((i - 1) / 2 as int)].score >= {s.threshold}D, '{s.mask}', x)), ''), `{text}`)"""

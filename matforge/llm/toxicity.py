@@ -40,7 +40,8 @@ class Settings:
     min_texts: int = 5  # that a word's bucket must stand in
     rate: float = 0.05
     seed: int = 7
-    max_rows_per_class: int = 4000  # bound of the labelled sample
+    max_rows_per_class: int = 4000  # bounds of the labelled sample
+    max_bytes: int = 96 << 20
 
 
 class WordHasher:
@@ -101,9 +102,11 @@ class Net:
             for i, (k, w) in enumerate(zip(s.widths, self.w)):
                 if j < k:
                     y[i * n : (i + 1) * n, : len(x) - j] += w[j * d : (j + 1) * d].T @ x.T[:, j:]
-        won = []
+        won, ends = [], np.append(starts[1:], len(codes))
+        for i, k in enumerate(s.widths):  # windows that would reach into the next text do not count
+            for j in range(1, k):
+                y[i * n : (i + 1) * n, ends - j] = -np.inf
         if winners:
-            ends = np.append(starts[1:], len(codes))
             at = np.stack([y[:, lo:hi].argmax(1) + lo for lo, hi in zip(starts, ends)])  # texts x filters
             top = y[np.arange(len(y)), at]
             won = [at[:, i * n : (i + 1) * n] for i in range(len(s.widths))]
@@ -226,7 +229,10 @@ def best_threshold(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable, label: str, settings, doc_id: str = "doc_id", text: str = "text"):
-    """At most ``max_rows_per_class`` labelled texts of each class, chosen by a hash of the id."""
+    """Labelled texts, at most ``max_rows_per_class`` ids of each class and about ``max_bytes`` in all, chosen by hashes.
+
+    An id with several texts, or with both labels, gives a row for each; equal rows count once.  Null ids are left out.
+    """
     rows = labels.filter(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).filter(usable("_id")).distinct()
     # a share of each class by hash, so that no task or driver holds more than the bound
     sizes = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
@@ -236,7 +242,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable, label: str, sett
         share = top if n <= some else int(top * 0.9 * some / n)
         chosen = chosen.unionByName(rows.filter((F.col("_y") == y) & (F.pmod(F.xxhash64("_id"), F.lit(top)) < share)).limit(some))
     # ids and labels only, a bounded number of them, are broadcast
-    found = docs.select(docs[doc_id].alias("_id"), docs[text].alias("_t")).join(F.broadcast(chosen), "_id").collect()
+    found = docs.select(docs[doc_id].alias("_id"), F.coalesce(docs[text], F.lit("")).alias("_t")).join(F.broadcast(chosen), "_id")
+    # repeated ids and long texts have no bound of their own: shares of the rows, by hash, as far as the bytes reach
+    found = found.withColumn("_h", F.pmod(F.xxhash64("_id", "_t"), F.lit(1024)).cast("int"))
+    sizes, held, top = found.groupBy("_h").agg(F.sum(F.octet_length("_t")).alias("n")).collect(), 0, 1024
+    for r in sorted(sizes):
+        held += r["n"]
+        if held > settings.max_bytes:
+            top = r["_h"]
+            break
+    found = list({(r["_id"], r["_t"], r["_y"]): r for r in found.filter(F.col("_h") < top).drop("_h").collect()}.values())
     found.sort(key=lambda r: (r["_id"], r["_t"] or "", r["_y"]))
     return [r["_t"] or "" for r in found], [r["_y"] for r in found]
 
