@@ -51,7 +51,7 @@ class Shingler:
         split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
         if len(self.known) > self.keep:
             self.known.clear()
-        for w in set().union(*split) - self.known.keys():
+        for w in set().union(*split).difference(self.known):
             self.known[w] = xxh3_64_intdigest(w)
         get, out = self.known.__getitem__, []
         with np.errstate(over="ignore"):

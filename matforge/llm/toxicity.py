@@ -61,7 +61,7 @@ class WordHasher:
         split = [t.lower().encode("utf-8", "surrogatepass").split() for t in texts]
         if len(self.known) > self.keep:
             self.known.clear()
-        for w in set().union(*split) - self.known.keys():
+        for w in set().union(*split).difference(self.known):
             core = w.strip(EDGES) or w
             h = xxh3_64_intdigest(core)
             self.known[w] = ((h >> 32) % self.size + 1) << 32 | ((h & 0xFFFFFFFF) % self.size + 1) << 4 | self.language.get(core, 0)
