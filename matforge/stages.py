@@ -24,7 +24,8 @@ def saved(df: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, start: int, order: str = "ord") -> DataFrame:
     """``rows`` with ``number``, from ``start`` on in the order of ``order``: ranges are sorted apart and offset by the sizes of
     the ranges before, so no task holds all rows."""
-    parts = rows.repartitionByRange(max(1, rows.sparkSession.sparkContext.defaultParallelism), order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
+    # kept before it is counted: ranges are drawn from samples, which differ from one run of the plan to the next
+    parts = saved(rows.repartitionByRange(max(1, rows.sparkSession.sparkContext.defaultParallelism), order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()))
     sizes, total = {}, start
     for r in sorted(parts.groupBy("_p").count().collect()):
         sizes[r["_p"]], total = total, total + r["count"]
