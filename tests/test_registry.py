@@ -60,3 +60,11 @@ def test_missing_item(spark, catalog):
 def test_codes_beyond_six_digits(spark):
     reg = spark.createDataFrame([("CNMC-999999",), ("CNMC-1000000",), ("CNMC-x",)], "cnmc_code string")
     assert registry.next_number(reg) == 1000001
+
+
+def test_numbered_is_in_order(spark):
+    """Numbers follow the order without gaps or repeats, whichever way the rows lie."""
+    rows = spark.range(3000).selectExpr("pmod(xxhash64(id), 100000000) * 3000 + id AS ord").repartition(7)
+    got = sorted((r["number"], r["ord"]) for r in registry.numbered(rows, 5).collect())
+    assert [n for n, _ in got] == list(range(5, 3005)) and [o for _, o in got] == sorted(o for _, o in got)
+    assert registry.numbered(rows.limit(0), 1).count() == 0
