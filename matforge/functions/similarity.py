@@ -19,26 +19,37 @@ ONE_SIDED = math.log(1.5) + 1  # smooth inverse frequency, over two texts, of wh
 def grams(x: str) -> Column:
     """Character n-grams (2 to 4) inside words padded by spaces, as entries ``k`` (gram) and ``n`` (count).
 
-    A word shorter than ``n`` counts once as a whole.  Compute it once for an item, not for each pair.
+    A word shorter than ``n`` counts once as a whole.  Entries are in the order of their grams.  Compute it once for an item,
+    not for each pair.
     """
     # a padded word has three characters or more: only n = 4 can be longer than it
     four = "IF(length(w) <= 4, IF(length(w) = 4, array(w), array()), transform(sequence(1, length(w) - 3), i -> substring(w, i, 4)))"
     three = "IF(length(w) = 3, array(w), transform(sequence(1, length(w) - 2), i -> substring(w, i, 3)))"
     two = "transform(sequence(1, length(w) - 1), i -> substring(w, i, 2))"
     words = f"transform(filter(split({x}, '\\\\s+'), t -> t <> ''), t -> concat(' ', t, ' '))"
-    all_ = f"flatten(transform({words}, w -> concat({two}, {three}, {four})))"
-    return F.expr(f"transform(array_distinct({all_}), k -> named_struct('k', k, 'n', size(filter({all_}, y -> y = k))))")
+    all_ = f"array_sort(flatten(transform({words}, w -> concat({two}, {three}, {four}))))"
+    # equal grams lie together; what is used again is bound to a name, since an expression in a lambda is evaluated for each entry
+    starts = "filter(sequence(0, size(g)), i -> i = size(g) OR i = 0 OR g[i] <> g[i - 1])"
+    runs = "transform(slice(s, 1, size(s) - 1), (p, j) -> named_struct('k', g[p], 'n', s[j + 1] - p))"
+    counted = f"IF(size(g) = 0, array(), flatten(transform(array({starts}), s -> {runs})))"
+    return F.expr(f"flatten(transform(array({all_}), g -> {counted}))")
 
 
 def pair_tfidf(a: str, b: str) -> Column:
-    """Cosine of the n-gram weights of two gram columns, as fitted on just the two texts; 0 if one has none."""
+    """Cosine of the n-gram weights of two gram columns, as fitted on just the two texts; 0 if one has none.
+
+    Both sides are merged in the order of their grams, so that those of both texts lie together.
+    """
     w2 = ONE_SIDED**2
-    look = lambda m: f"try_element_at(m.{m}, e.k)"
-    dot = f"aggregate({a}, 0D, (t, e) -> t + e.n * coalesce({look('b')}, 0))"
-    norm = lambda x, other: f"aggregate({x}, 0D, (t, e) -> t + e.n * e.n * IF({look(other)} IS NULL, {w2}D, 1D))"
-    # both maps are bound to a name, so that they are built once for a pair
-    maps = f"array(named_struct('a', map_from_entries({a}), 'b', map_from_entries({b})))"
-    return F.expr(f"transform({maps}, m -> coalesce(try_divide({dot}, sqrt({norm(a, 'b')} * {norm(b, 'a')})), 0D))[0]")
+    side = lambda x, i: f"transform({x}, e -> named_struct('k', e.k, 's', {i}, 'n', e.n))"
+    merged = f"array_sort(concat({side(a, 0)}, {side(b, 1)}))"
+    both = "filter(sequence(1, size(m) - 1), i -> m[i].k = m[i - 1].k)"
+    step = "named_struct('d', t.d + m[i - 1].n * m[i].n, 'a', t.a + m[i - 1].n * m[i - 1].n, 'b', t.b + m[i].n * m[i].n)"
+    shared = f"aggregate({both}, named_struct('d', 0, 'a', 0, 'b', 0), (t, i) -> {step})"
+    squares = lambda x: f"aggregate({x}, 0, (t, e) -> t + e.n * e.n)"
+    norm = lambda x, common: f"({w2}D * ({squares(x)} - {common}) + {common})"
+    cosine = f"transform(array({shared}), c -> coalesce(try_divide(double(c.d), sqrt({norm(a, 'c.a')} * {norm(b, 'c.b')})), 0D))[0]"
+    return F.expr(f"IF(size({a}) = 0 OR size({b}) = 0, 0D, transform(array({merged}), m -> {cosine})[0])")
 
 
 def jaccard(a: str, b: str, both_empty: float = 0.5, one_empty: float = 0.3) -> Column:
