@@ -139,13 +139,13 @@ def _compare(s: Settings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single_threaded()
-        key, held, out = None, [], []
+        key, held, out = None, [], []  # held: the parts of a group that batches brought
 
         def close():
-            if len(held) < 2:
+            if sum(len(h[0]) for h in held) < 2:
                 return
-            cls, block, mult = (np.array([h[i] for h in held], np.int64) for i in (0, 1, 2))
-            x = np.array([h[3] for h in held], float)
+            cls, block, mult, x, many, sets = held[0] if len(held) == 1 else map(np.concatenate, zip(*held))
+            x = x.astype(float)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             near = x @ x.T >= s.threshold
             np.fill_diagonal(near, False)
@@ -155,11 +155,11 @@ def _compare(s: Settings):
                 return
             # of a pair that shares a smaller filter, the links are counted there
             live = np.flatnonzero(near.any(1))
-            cls, mult, near = cls[live], mult[live], near[np.ix_(live, live)]
-            earlier = [np.asarray(held[i][4], np.int64) for i in live]
-            names, times = np.unique(np.concatenate(earlier), return_counts=True)
+            which = sets[np.repeat(near.any(1), many)]
+            cls, mult, many, near = cls[live], mult[live], many[live], near[np.ix_(live, live)]
+            names, times = np.unique(which, return_counts=True)
             names, counted = names[times > 1], near.copy()
-            at, which = np.repeat(np.arange(len(live)), [len(e) for e in earlier]), np.concatenate(earlier)
+            at = np.repeat(np.arange(len(live)), many)
             for lo in range(0, len(names), 4096):
                 some = names[lo : lo + 4096]
                 k = np.minimum(np.searchsorted(some, which), len(some) - 1)
@@ -178,13 +178,28 @@ def _compare(s: Settings):
         def batch():
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], []))], schema=schema)
 
+        def lists(column) -> tuple[np.ndarray, np.ndarray]:
+            """The values of all lists and where each begins (and the last ends)."""
+            sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+            return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
         for b in batches:
-            cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("dim", "label", "f", "lo", "hi", "cls", "own", "mult", "v", "earlier")]
-            for d, l, f, lo, hi, *rest in zip(*cols):
-                if (d, l, f, lo, hi) != key:
+            if not b.num_rows:
+                continue
+            col = {c: b.column(b.schema.get_field_index(c)) for c in ("dim", "label", "f", "lo", "hi", "cls", "own", "mult", "v", "earlier")}
+            num = {c: col[c].to_numpy(zero_copy_only=False) for c in ("dim", "f", "lo", "hi", "cls", "own", "mult")}
+            names = col["label"].to_pylist()
+            (v, v_at), (e, e_at) = lists(col["v"]), lists(col["earlier"])
+            new = np.array([x != y for x, y in zip(names[1:], names)], bool)
+            for c in ("dim", "f", "lo", "hi"):
+                new |= num[c][1:] != num[c][:-1]
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+            for i, j in zip(edges, edges[1:]):
+                now = (int(num["dim"][i]), names[i], *(int(num[c][i]) for c in ("f", "lo", "hi")))
+                if now != key:
                     close()
-                    key, held = (d, l, f, lo, hi), []
-                held.append(rest)
+                    key, held = now, []
+                held.append((num["cls"][i:j], num["own"][i:j], num["mult"][i:j], v[v_at[i] : v_at[j]].reshape(j - i, -1), np.diff(e_at[i : j + 1]), e[e_at[i] : e_at[j]]))
             if len(out) > 20_000:
                 yield batch()
                 out.clear()
