@@ -13,7 +13,7 @@ from ..functions import rules, similarity, specs, text
 from ..functions.dialect import column
 from ..operators import analytics, candidates, gate, registry
 from ..sources import catalogs
-from ..stages import staged
+from ..stages import spread, staged
 
 
 def enriched(items: DataFrame, encoder: similarity.Encoder = similarity.hashed_encoder) -> DataFrame:
@@ -40,7 +40,7 @@ def enriched(items: DataFrame, encoder: similarity.Encoder = similarity.hashed_e
 
 def run(items: DataFrame, top_k: int = 15, strategy: str = "auto", encoder: similarity.Encoder = similarity.hashed_encoder) -> DataFrame:
     """Match records of ``items``, best first (ties: by item)."""
-    ready = staged(enriched(items, encoder))
+    ready = staged(enriched(spread(items, "ord"), encoder))
     pairs = candidates.candidate_pairs(ready, "vector", top_k, strategy)
     fuzzy = similarity.token_ratio("expanded_a", "expanded_b")
     none = (F.col("clean_description_a") == "") | (F.col("clean_description_b") == "")

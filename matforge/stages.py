@@ -21,6 +21,16 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else staged(df)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to all cores, or to as many partitions as shuffles have where those are more.
+
+    For narrow rows that cost much time each: by their bytes alone they would be read, or joined after a shuffle, as one task.
+    """
+    session = df.sparkSession
+    parts = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
+
+
 def numbered(rows: DataFrame, start: int, order: str = "ord") -> DataFrame:
     """``rows`` with ``number``, from ``start`` on in the order of ``order``: ranges are sorted apart and offset by the sizes of
     the ranges before, so no task holds all rows."""
