@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, lm, minhash, packing, pieces, quality, secrets, spherical, toxicity, warc
+from . import bpe, centroids, chat, collocations, common, lm, minhash, packing, pieces, quality, secrets, spherical, toxicity, warc
 
 
 def word_bpe_path() -> str:
@@ -133,6 +133,61 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(common.read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(common.read_table(spark, sf_dir, "embeddings"))[0]
+
+
+def _op11_sql(clusters: int = 16, rounds: int = 3, dim: int = 64, scale: int = 64) -> str:
+    """Rounds written out: every vector meets all centroids, in integers."""
+    floor = "((s - ((s % n) + n) % n) // n)"
+    parts = [
+        f"""kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept WHERE vec_id IS NOT NULL) ORDER BY h, v LIMIT {clusters})",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, v, k, d FROM (SELECT x.vec_id, x.v, c.k, d, row_number() OVER (PARTITION BY x.i ORDER BY d, c.k) AS n FROM (SELECT *, row_number() OVER () AS i FROM kept) x, c{r} c,
+        LATERAL (SELECT CAST(list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d)) WHERE n = 1)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT k, list({floor} ORDER BY i) AS v FROM
+            (SELECT k, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY k, i) GROUP BY k) m ON m.k = c.k)""")
+    return f"""WITH {", ".join(parts)}
+    SELECT a.vec_id, CAST(a.k AS INT) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON a.k = c.k"""
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(common.read_table(spark, sf_dir, "documents"), word_bpe_path())
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(common.read_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH p AS (
+    SELECT lang, m, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM (SELECT lang, piece, count(*) AS m FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+    ) GROUP BY ALL)
+), g AS MATERIALIZED (
+    SELECT lang, k AS size, phrase, CAST(sum(m) AS BIGINT) AS f FROM (
+        SELECT lang, m, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM p, (VALUES (1), (2), (3), (4)) AS x(k)
+    ) GROUP BY ALL
+), t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE size = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM g WHERE size >= 2 AND f >= 30),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+s AS (
+    SELECT x.lang, x.phrase, x.a, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * x.a // (l.f + r.f) AS BIGINT) AS score, x.k
+    FROM cuts x JOIN g l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:x.k], ' ') JOIN g r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.k + 1:], ' ')
+), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS most FROM (SELECT *, unnest(range(1, size - k + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS k FROM c WHERE size >= 3)) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM b JOIN t ON t.lang = b.lang LEFT JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase
+WHERE i.most IS NULL OR 100::HUGEINT * i.most < 80::HUGEINT * a
+QUALIFY row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) <= 2000
+""".replace("\\", "\\"[:1])
+
+
 def corpus_pipeline_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -150,6 +205,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_minhash": op9_minhash,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_centroids": op11_centroids,
+    "op12_bpe": op12_bpe,
+    "op13_collocations": op13_collocations,
     "pipeline": corpus_pipeline_run,
 }
-ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op7_warc": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op7_warc": OP7_SQL, "op11_centroids": _op11_sql(), "op13_collocations": OP13_SQL}
