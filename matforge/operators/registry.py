@@ -1,23 +1,26 @@
 """The registry of common codes: minting, mappings, audit trail, review.
 
-Tables are DataFrames (``Tables``); every operation returns new ones.  Minting follows the order of matches, but only matches
-that share items depend on each other: each connected group is folded in its own task, and new codes are numbered over all.
+Tables are DataFrames (``Tables``); every operation returns new ones, and ``transact`` makes what it returns current at once or
+not at all.  Minting follows the order of matches, decided for all items together by pointers that are followed in doubling
+steps; new codes are numbered over all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import versions
 from ..stages import numbered, saved
 
 REGISTRY = "cnmc_code string, canonical_description string, confidence_at_merge double, merge_type string, created_at timestamp_ntz"
 MAPPING = "id long, cnmc_code string, source_cpse string, original_code string"
 AUDIT = "entry_id long, cnmc_code string, action string, actor string, details string, timestamp timestamp_ntz"
 DECISIONS = "match_id string, reviewer_decision string, decision string, reviewer_id string, reviewed_at timestamp, notes string"
+SCHEMAS = {"registry": REGISTRY, "mapping": MAPPING, "audit": AUDIT, "decisions": DECISIONS}
 ACTIONS = ("auto_linked", "human_approved", "human_rejected", "safety_gate_blocked")
 
 
@@ -27,20 +30,59 @@ class Tables:
     mapping: DataFrame
     audit: DataFrame
     decisions: DataFrame
+    version: str | None = None  # the stored version that these were loaded from
 
 
 def empty(spark: SparkSession) -> Tables:
-    """Fresh tables: creating them, and resetting them to nothing (``save`` of these over a folder drops what was there)."""
-    return Tables(*(spark.createDataFrame([], s) for s in (REGISTRY, MAPPING, AUDIT, DECISIONS)))
+    """Fresh tables."""
+    return Tables(*(spark.createDataFrame([], s) for s in SCHEMAS.values()))
 
 
-def save(t: Tables, path: str) -> None:
-    for name in vars(t):
-        getattr(t, name).write.mode("overwrite").parquet(f"{path}/{name}")
+def save(t: Tables, path: str) -> str:
+    """All four tables as one new version of the registry in ``path``, current at once or not at all; gives its name.
+
+    Tables go to a folder of their own, so ``t`` may come from the very registry that it replaces, and whoever reads an older
+    version goes on reading it.  Raises ``Conflict`` if ``t`` was loaded and another version has become current since.
+    """
+    return versions.publish(t.registry.sparkSession, path, {n: getattr(t, n) for n in SCHEMAS}, t.version)
 
 
 def load(spark: SparkSession, path: str) -> Tables:
-    return Tables(*(spark.read.parquet(f"{path}/{n}") for n in ("registry", "mapping", "audit", "decisions")))
+    """The current version of the registry in ``path``; ``FileNotFoundError`` without one."""
+    name, tables = versions.current(spark, path, SCHEMAS)
+    return Tables(**tables, version=name)
+
+
+def open_or_create(spark: SparkSession, path: str) -> Tables:
+    """``load``, or fresh tables where there are none."""
+    try:
+        return load(spark, path)
+    except FileNotFoundError:
+        return empty(spark)
+
+
+def transact(spark: SparkSession, path: str, *changes: Callable[[Tables], Tables]) -> Tables:
+    """Applies ``changes`` one after the other to the registry in ``path`` and makes the result current in one step.
+
+    If one of them raises, or the driver dies, nothing has changed.  Tables that break a rule are not stored: ``Broken``.
+    """
+    t = open_or_create(spark, path)
+    for change in changes:
+        t = change(t)
+    broken = violations(t).limit(20).collect()
+    if broken:
+        raise Broken([tuple(r) for r in broken])
+    save(t, path)
+    return load(spark, path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Resets the registry in ``path`` to empty tables, as one version more: the older ones stay until they are swept."""
+    save(empty(spark), path)
+
+
+class Broken(ValueError):
+    """Tables with rows that break a rule; holds the first of them."""
 
 
 def next_number(registry: DataFrame) -> int:
@@ -54,46 +96,32 @@ def code_of(number: Column) -> Column:
     return F.concat(F.lit("CNMC-"), F.when(F.length(text) < 6, F.lpad(text, 6, "0")).otherwise(text))
 
 
-def _labels(edges: DataFrame) -> DataFrame:
-    """``node, group``: the smallest node that each node of ``edges`` (``x, y``) reaches.
+def _coded(matches: DataFrame, old: DataFrame) -> DataFrame:
+    """Which code each item of ``matches`` has in the end: ``node, ord, origin, cnmc_code``, one row for each.
 
-    Each round takes the smallest label among neighbours and then that label's own label, which halves the way to go: rounds
-    grow with the logarithm of the longest chain.  Every round is cut from its lineage.
+    An item without a code gets one at its first match, whatever that does: a new code, if the match is the first of both its
+    items, else the code of the other item, which has one already.  So every item points to the item it takes its code from,
+    and pointers lead to items that were mapped before (``cnmc_code``) or to a match that mints (``origin``, its ``ord``).  Each
+    round follows pointers twice as far, so a chain of any length takes a logarithm of rounds.  No group is one task: an item
+    of very many matches is reduced to its first one before the shuffle.
     """
-    both = saved(edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    now = both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("group"))
+    ends = matches.select("ord", F.col("node_a").alias("node"), F.col("node_b").alias("other")).union(matches.select("ord", "node_b", "node_a"))
+    first = ends.groupBy("node").agg(F.min(F.struct("ord", "other")).alias("x")).select("node", "x.ord", "x.other")
+    known = old.select("node", F.col("cnmc_code"))
+    items = saved(first.join(known, "node", "left").withColumn("ord", F.when(F.col("cnmc_code").isNull(), F.col("ord"))))
+    # a match that is first at both its items, neither of them mapped, mints
+    minting = items.filter("ord is not null").groupBy("ord").agg(F.count("*").alias("n"), F.count_if(F.col("node") == F.col("other")).alias("own")).filter("n = 2 or own = 1").select("ord", F.col("ord").alias("origin"))
+    table = items.join(minting, "ord", "left").select("node", "ord", "origin", "cnmc_code", F.when(F.col("origin").isNull() & F.col("cnmc_code").isNull(), F.col("other")).alias("other"))
+    done, open_ = None, saved(table)
     while True:
-        seen = both.join(now.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("group").alias("g"))
-        near = now.join(seen, "node").select("node", F.col("group").alias("old"), F.least("group", "g").alias("g"))
-        jump = now.select(F.col("node").alias("g"), F.col("group").alias("far"))
-        step = saved(near.join(jump, "g", "left").select("node", "old", F.least("g", F.coalesce("far", "g")).alias("group")))
-        now = step.select("node", "group")
-        if step.filter("old <> group").isEmpty():
-            return now
-
-
-def _fold():
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """What each match of a connected group does, in order: mint (``fresh`` is its own ``ord``), attach, or nothing."""
-        code: dict[str, str] = {}
-        rows = []
-        for r in pdf.sort_values("ord", kind="stable").itertuples():
-            for item, old in ((r.node_a, r.code_a), (r.node_b, r.code_b)):
-                if isinstance(old, str):
-                    code.setdefault(item, old)
-            a, b = code.get(r.node_a), code.get(r.node_b)
-            if a and b:
-                rows.append((r.ord, "none", a, None, None))
-            elif a or b:
-                item = r.node_b if a else r.node_a
-                code[item] = a or b
-                rows.append((r.ord, "attach", a or b, item, None))
-            else:
-                code[r.node_a] = code[r.node_b] = f"#{r.ord}"
-                rows.append((r.ord, "mint", f"#{r.ord}", r.node_a, r.node_b))
-        return pd.DataFrame(rows, columns=["ord", "effect", "code", "first", "second"])
-
-    return run
+        settled = open_.filter("other is null")
+        done = settled if done is None else saved(done.unionByName(settled))
+        rest = open_.filter("other is not null")
+        if rest.isEmpty():
+            return done.drop("other")
+        # whoever a pointer leads to is settled, or points further
+        target = done.unionByName(rest).select(F.col("node").alias("other"), F.col("origin").alias("o"), F.col("cnmc_code").alias("c"), F.col("other").alias("further"))
+        open_ = saved(rest.drop("origin", "cnmc_code").join(target, "other").select("node", "ord", F.col("o").alias("origin"), F.col("c").alias("cnmc_code"), F.col("further").alias("other")))
 
 
 def mint(t: Tables, matches: DataFrame, action: str, actor: str, at) -> Tables:
@@ -108,25 +136,23 @@ def mint(t: Tables, matches: DataFrame, action: str, actor: str, at) -> Tables:
     bad = m.filter("source_cpse_a is null or source_cpse_b is null or item_a is null or item_b is null or canonical_description is null or confidence_score is null")
     if not bad.isEmpty():
         raise ValueError("matches need items, sources, a description and a confidence")
-    old = t.mapping.select(F.concat_ws("\u0001", "source_cpse", "original_code").alias("node"), F.col("cnmc_code"))
-    for s in "ab":
-        m = m.join(old.select(F.col("node").alias(f"node_{s}"), F.col("cnmc_code").alias(f"code_{s}")), f"node_{s}", "left")
-    groups = _labels(m.select(F.col("node_a").alias("x"), F.col("node_b").alias("y")))
-    m = saved(m.join(groups.select(F.col("node").alias("node_a"), "group"), "node_a"))
-    needed = m.select("ord", "node_a", "node_b", F.col("code_a").cast("string"), F.col("code_b").cast("string"), "group")
-    # a fold is a sequence: one connected group of matches, however large, is one task
-    effects = saved(needed.groupBy("group").applyInPandas(_fold(), "ord long, effect string, code string, first string, second string"))
+    old = t.mapping.groupBy(F.concat_ws("\u0001", "source_cpse", "original_code").alias("node")).agg(F.min_by("cnmc_code", "id").alias("cnmc_code"))
+    codes = _coded(m, old)
+    # items by the match that gives them their code: two are minted together, one is attached
+    gained = codes.filter("ord is not null").groupBy("ord").agg(F.sort_array(F.collect_list("node")).alias("nodes"), F.min("origin").alias("origin"), F.min("cnmc_code").alias("code"))
+    effects = saved(gained.withColumn("effect", F.when(F.col("origin") == F.col("ord"), "mint").otherwise("attach")))
     fresh = numbered(effects.filter("effect = 'mint'").select("ord"), next_number(t.registry))
-    effects = effects.join(fresh.select(F.concat(F.lit("#"), "ord").alias("code"), code_of(F.col("number")).alias("minted")), "code", "left")
-    done = saved(m.join(effects.withColumn("cnmc_code", F.coalesce("minted", "code")).drop("code", "minted"), "ord"))
+    effects = effects.join(fresh.select(F.col("ord").alias("origin"), code_of(F.col("number")).alias("minted")), "origin", "left")
+    done = saved(m.join(effects.withColumn("cnmc_code", F.coalesce("minted", "code")).drop("code", "minted", "origin"), "ord"))
     when = F.lit(at).cast("timestamp_ntz")
     registry = done.filter("effect = 'mint'").select("cnmc_code", "canonical_description", F.col("confidence_score").alias("confidence_at_merge"), F.lit(action).alias("merge_type"), when.alias("created_at"))
-    added = done.select("ord", "cnmc_code", F.explode(F.filter(F.array(F.struct(F.lit(0).alias("i"), F.col("first").alias("n")), F.struct(F.lit(1).alias("i"), F.col("second").alias("n"))), lambda x: x["n"].isNotNull())).alias("x"))
-    mapping = added.select("ord", "cnmc_code", F.substring_index("x.n", "\u0001", 1).alias("source_cpse"), F.substring_index("x.n", "\u0001", -1).alias("original_code"), F.col("x.i").alias("i"))
+    gets = lambda s, i: F.when(F.array_contains("nodes", F.col(f"node_{s}")), F.struct(F.lit(i).alias("i"), F.col(f"source_cpse_{s}").alias("source_cpse"), F.col(f"item_{s}").alias("original_code")))
+    added = done.withColumn("x", F.explode(F.array_compact(F.array(gets("a", 0), F.when(F.col("node_a") != F.col("node_b"), gets("b", 1))))))
+    mapping = added.select("ord", "cnmc_code", "x.source_cpse", "x.original_code", "x.i")
     top = t.mapping.agg(F.max("id")).first()[0] or 0
     mapping = numbered(mapping.withColumn("ord", F.col("ord") * 2 + F.col("i")), top + 1).select(F.col("number").alias("id"), "cnmc_code", "source_cpse", "original_code")
     details = F.to_json(F.struct("match_id", "item_a", "item_b", "source_cpse_a", "source_cpse_b", "confidence_score"))
-    entries = done.filter("effect <> 'none'").select("ord", "cnmc_code", F.lit(action).alias("action"), F.lit(actor).alias("actor"), details.alias("details"), when.alias("timestamp"))
+    entries = done.select("ord", "cnmc_code", F.lit(action).alias("action"), F.lit(actor).alias("actor"), details.alias("details"), when.alias("timestamp"))
     return replace(t, registry=t.registry.unionByName(registry), mapping=t.mapping.unionByName(mapping), audit=_audited(t.audit, entries))
 
 
@@ -228,11 +254,12 @@ def pending(matches: DataFrame, catalog: DataFrame, mapping: DataFrame, decision
 
 
 def violations(t: Tables) -> DataFrame:
-    """Rows that break a rule tables do not enforce: unique mappings, known codes, legal actions."""
+    """Rows that break a rule: unique codes and mappings, known codes, legal actions; ``transact`` does not store such tables."""
+    twice = t.registry.groupBy("cnmc_code").count().filter("count > 1").select(F.lit("code is not unique").alias("rule"), F.col("cnmc_code").alias("row"))
     double = t.mapping.groupBy("source_cpse", "original_code").count().filter("count > 1").select(F.lit("mapping is not unique").alias("rule"), F.concat_ws("/", "source_cpse", "original_code").alias("row"))
     lost = t.mapping.join(t.registry, "cnmc_code", "left_anti").select(F.lit("code is not registered").alias("rule"), F.col("cnmc_code").alias("row"))
     illegal = t.audit.filter(~F.col("action").isin(*ACTIONS)).select(F.lit("action is not legal").alias("rule"), F.col("action").alias("row"))
-    return double.unionByName(lost).unionByName(illegal)
+    return double.unionByName(twice).unionByName(lost).unionByName(illegal)
 
 
 def update_description(registry: DataFrame, code: str, description: str) -> DataFrame:
