@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import similarity, specs, text
+from ..functions import rules, similarity, specs, text
 from ..functions.dialect import DUCK, SPARK, Layers, layered_sql, with_layers
 from ..operators import analytics, candidates, gate, prototypes, registry
 from ..sources import catalogs
@@ -289,13 +289,65 @@ def dense_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.run(_items(spark, sf_dir).select("ord", "item_id", "source_cpse", "description", "uom")).drop("explanation", "score_breakdown")
 
 
-@query("prototype_scores")
+def _prototype_sql(items: str, least: float, columns: str) -> str:
+    """The older scorer over ``ord, item_id, source_cpse, description, unit, n``, all pairs compared, written out in plain SQL.
+
+    The longest common subsequence is computed row by row of its table, for the pairs that can still reach ``least``.
+    """
+    found = lambda g, p=rules.PROTOTYPE_PRESSURE: f"nullif(regexp_extract(description, '(?i){p}', {g}), '')"
+    listed = ", ".join(f"regexp_extract_all(description, '(?i){p}', {g})" for p, g in prototypes.TOKENS_A)
+    units = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.PROTOTYPE_UNITS.items())
+    reason = " ".join(f"WHEN a.{c} <> b.{c} THEN concat('{c} differs: ', a.{c}, ' vs ', b.{c})" for c in ("pressure_class", "material_grade"))
+    return f"""WITH RECURSIVE items AS MATERIALIZED (
+    SELECT *, array_to_string(list_sort(list_filter(string_split_regex(description, '\\s+'), lambda t: t <> '')), ' ') AS sorted, CASE unit {units} END AS same_unit,
+        list_distinct(list_transform(flatten([{listed}]), lambda t: lower(regexp_replace(t, '\\s+', '', 'g')))) AS tokens, upper(coalesce({found(1)}, {found(2)})) AS pressure_class, upper(trim({found(1, rules.PROTOTYPE_GRADE)})) AS material_grade
+    FROM ({items})
+), words AS (SELECT ord, n, ' ' || unnest(list_filter(string_split_regex(lower(description), '\\s+'), lambda t: t <> '')) || ' ' AS w FROM items
+), grams AS (SELECT ord, n, k, count(*) AS c FROM (SELECT ord, n, unnest(list_transform(range(1, length(w) - l + 2), lambda i: substr(w, CAST(i AS INT), CAST(l AS INT)))) AS k FROM words, (VALUES (2), (3), (4)) AS x(l) WHERE length(w) >= l) GROUP BY ALL
+), rare AS (SELECT k, ln((1.0 + (SELECT sum(n) FROM items)) / (1.0 + sum(n))) + 1 AS idf FROM grams GROUP BY k
+), raw AS (SELECT ord, k, c * idf AS w FROM grams JOIN rare USING (k)
+), vec AS MATERIALIZED (SELECT ord, k, w / sqrt(sum(w * w) OVER (PARTITION BY ord)) AS w FROM raw
+), dots AS (SELECT x.ord AS a, y.ord AS b, sum(x.w * y.w) AS cosine FROM vec x JOIN vec y ON x.k = y.k AND x.ord < y.ord GROUP BY ALL
+), p AS MATERIALIZED (
+    SELECT a.ord AS a, b.ord AS b, a.sorted AS sa, b.sorted AS sb, coalesce(cosine, 0) AS cosine, CASE WHEN a.same_unit IS NOT DISTINCT FROM b.same_unit THEN 1.0 ELSE 0.4 END AS unit_score, CASE {reason} ELSE '' END AS block_reason,
+        CASE WHEN len(a.tokens) = 0 AND len(b.tokens) = 0 THEN 0.5 WHEN len(a.tokens) = 0 OR len(b.tokens) = 0 THEN 0.3 ELSE len(list_intersect(a.tokens, b.tokens)) / CAST(len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens)) AS DOUBLE) END AS spec_score
+    FROM items a JOIN items b ON a.ord < b.ord AND a.source_cpse <> b.source_cpse LEFT JOIN dots d ON d.a = a.ord AND d.b = b.ord
+    WHERE 0.35 * coalesce(cosine, 0) + 0.65 >= {least} - 0.001
+), texts AS MATERIALIZED (SELECT DISTINCT sa, sb, row_number() OVER (ORDER BY sa, sb) AS t FROM (SELECT DISTINCT sa, sb FROM p)
+), cells AS (
+    SELECT t, 0 AS i, unnest(range(1, length(sa) + 1)) AS j, 0 AS v FROM texts
+    UNION ALL SELECT t, i, j, CAST(max(c) OVER (PARTITION BY t ORDER BY j) AS INTEGER) FROM (
+        SELECT r.t, r.i + 1 AS i, j, greatest(v, CASE WHEN substr(sa, CAST(j AS INT), 1) = substr(sb, r.i + 1, 1) THEN coalesce(lag(v) OVER (PARTITION BY r.t ORDER BY j), 0) + 1 ELSE 0 END) AS c
+        FROM cells r JOIN texts ON texts.t = r.t WHERE r.i < length(sb))
+), ratios AS (SELECT sa, sb, CASE WHEN length(sa) + length(sb) = 0 THEN 1.0 ELSE 2.0 * coalesce(max(v), 0) / (length(sa) + length(sb)) END AS ratio FROM texts LEFT JOIN cells USING (t) GROUP BY sa, sb
+), s AS (SELECT p.*, 0.7 * cosine + 0.3 * ratio AS text_score FROM p JOIN ratios USING (sa, sb)
+), c AS (SELECT *, round_even(0.5 * text_score + 0.3 * spec_score + 0.2 * unit_score, 3) AS confidence FROM s)
+SELECT {columns} FROM (
+    SELECT x.item_id AS item_a, y.item_id AS item_b, x.n AS n_a, y.n AS n_b, round_even(text_score, 3) AS text_score, CAST(spec_score AS DOUBLE) AS spec_score, CAST(unit_score AS DOUBLE) AS unit_score, confidence,
+        CASE WHEN block_reason <> '' THEN 'safety_gate_blocked' WHEN confidence >= {rules.AUTO_LINK} THEN 'auto_linked' ELSE 'needs_review' END AS status, block_reason
+    FROM c JOIN items x ON x.ord = c.a JOIN items y ON y.ord = c.b WHERE confidence >= {least})"""
+
+
+_SCORED = "item_a, item_b, text_score, spec_score, unit_score, confidence, status, block_reason"
+
+
+@query("prototype_scores", _prototype_sql("SELECT item_id AS ord, CAST(item_id AS VARCHAR) AS item_id, CASE WHEN item_id % 2 = 0 THEN 'ONGC' ELSE 'IOCL' END AS source_cpse, text AS description, 'EA' AS unit, 1 AS n FROM benchmark", -1, _SCORED))
 def prototype_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older scorer over the benchmark texts as descriptions of two sources (it compares all pairs)."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.col("item_id").cast("string").alias("item_id"), F.expr("CASE WHEN item_id % 2 = 0 THEN 'ONGC' ELSE 'IOCL' END").alias("source_cpse"), F.col("text").alias("description"), F.lit("EA").alias("unit"))
     return prototypes.score(b)
 
 
+_CLASSES = f"SELECT min(ord) AS ord, arg_min(item_id, ord) AS item_id, source_cpse, description, unit, count(*) AS n FROM (SELECT *, {CODE} AS item_id, uom AS unit FROM ({catalog_oracle()})) GROUP BY source_cpse, description, unit"
+
+
+@query("prototype_links", _prototype_sql(_CLASSES, rules.AUTO_LINK, _SCORED.replace("item_b,", "item_b, n_a, n_b,")))
+def prototype_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the older scorer links or blocks at its threshold in the whole catalog: pairs of classes of equal items, by their
+    first ones, and how many items each stands for."""
+    return prototypes.score(prototypes.classes(_items(spark, sf_dir).withColumn("unit", F.col("uom"))), least=rules.AUTO_LINK)
+
+
 # ---- registry and exports
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,6 +121,88 @@ def test_prototype_scores(spark):
     got = {(r["item_a"], r["item_b"]): r for r in prototypes.score(df).collect()}
     assert got.keys() == {("a", "b"), ("a", "c")}
     assert got["a", "b"]["status"] == "auto_linked" and got["a", "b"]["confidence"] == 1.0
-    assert got["a", "c"]["status"] == "safety_gate_blocked" and "pressure_class" in got["a", "c"]["block_reason"]
+    assert got["a", "c"]["status"] == "safety_gate_blocked" and got["a", "c"]["block_reason"] == "pressure_class differs: 150 vs 300"
     open_ = {(r["item_a"], r["item_b"]): r for r in prototypes.score(df, gate=False).collect()}
     assert open_["a", "c"]["block_reason"] == ""
+
+
+def plain_corpus(texts):
+    """Unit vectors of n-grams weighted by smooth rarity over all texts."""
+    counts = [plain_grams(t.lower()) for t in texts]
+    df = Counter(k for c in counts for k in c)
+    out = []
+    for c in counts:
+        v = {k: n * (math.log((1 + len(texts)) / (1 + df[k])) + 1) for k, n in c.items()}
+        norm = math.sqrt(sum(w * w for w in v.values()))
+        out.append({k: w / norm for k, w in v.items()} if norm else {})
+    return out
+
+
+def plain_dot(x, y):
+    return sum(w * y.get(k, 0.0) for k, w in x.items())
+
+
+def test_corpus_weights(spark):
+    """Cosines over four texts, different ones, as the weighting defines them; nothing for an empty text."""
+    from matforge.operators import prototypes
+
+    texts = ["Gate Valve 4 IN CS", "Gate valve 6 inch SS316", "Ball Valve 2IN A105", "Welding Electrode E6013", "", "gate VALVE 4 in cs"]
+    df = spark.createDataFrame(list(enumerate(texts)), "ord long, description string")
+    items = prototypes.corpus_vectors(df, prototypes.corpus_weights(df))
+    a, b = (items.select(*(items[c].alias(f"{c}_{s}") for c in ("ord", "tfidf"))) for s in "ab")
+    got = {(r["ord_a"], r["ord_b"]): r["d"] for r in a.join(b, a.ord_a < b.ord_b).select("ord_a", "ord_b", prototypes.sparse_dot("tfidf_a", "tfidf_b").alias("d")).collect()}
+    want = plain_corpus(texts)
+    for (i, j), d in got.items():
+        assert d == pytest.approx(plain_dot(want[i], want[j]), abs=1e-12), (i, j)
+    assert 0.2 < got[0, 1] < 0.8 and got[0, 5] == pytest.approx(1.0)
+
+
+def test_index_finds_all_similar_pairs(spark):
+    import random
+
+    from matforge.operators import prototypes
+
+    rnd = random.Random(6)
+    words = ["gate", "valve", "ball", "flange", "cs", "ss316", "150#", "300#", "4in", "6in", "raised", "face", "pump", "motor"]
+    texts = [" ".join(rnd.choices(words, k=rnd.randrange(1, 7))) for _ in range(150)] + ["gate valve"] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "ord long, description string")
+    v = plain_corpus(texts)
+    w = prototypes.corpus_weights(df).persist()
+    for least in (0.3, 0.6, 0.95):
+        got = {(r["ord_a"], r["ord_b"]) for r in prototypes.similar_candidates(w, least, rows=16).collect()}
+        want = {(i, j) for i, j in combinations(range(len(texts)), 2) if plain_dot(v[i], v[j]) >= least}
+        assert want <= got and len(got) < len(texts) * (len(texts) - 1) // 2
+    w.unpersist()
+
+
+def test_least_confidence_gives_the_same_pairs(spark):
+    from matforge.operators import prototypes
+
+    sizes, kinds = ["2IN", "4IN", "6IN"], ["Gate Valve {} A105 150# API 6D", "GATE VALVE {} WCB 300# api 6d", "Flange WN RF {} 150# A105", "Welding Electrode {}"]
+    rows = [(i, f"I{i}", ["X", "Y", "Z", None][i % 4], kinds[i % 7 % 4].format(sizes[i % 3]), ["EA", "Nos", None][i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "ord long, item_id string, source_cpse string, description string, unit string")
+    every = prototypes.score(df).collect()
+    for least in (0.7, 0.85):
+        assert prototypes.score(df, least=least).collect() == [r for r in every if r["confidence"] >= least]
+    grouped = prototypes.score(prototypes.classes(df), least=0.85).collect()
+    assert sum(r["n_a"] * r["n_b"] for r in grouped) == sum(r["confidence"] >= 0.85 for r in every)
+
+
+def test_more_grams_than_a_vocabulary(spark):
+    """Beyond 262,144 distinct n-grams none is lost."""
+    import random
+
+    from matforge.operators import prototypes
+
+    rnd = random.Random(7)
+    signs = [chr(0x4E00 + i) for i in range(3000)]
+    texts = [" ".join("".join(rnd.choices(signs, k=12)) for _ in range(300)) for _ in range(40)]
+    texts.append(texts[0] + " " + texts[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "ord long, description string")
+    w = prototypes.corpus_weights(df).persist()
+    assert w.select("k").distinct().count() > 262_144
+    v = plain_corpus(texts)
+    got = {r["ord"]: {e["k"]: e["w"] for e in r["tfidf"]} for r in prototypes.corpus_vectors(df, w).filter("ord in (0, 1, 40)").collect()}
+    w.unpersist()
+    for i in (0, 1):
+        assert plain_dot(got[i], got[40]) == pytest.approx(plain_dot(v[i], v[40]), abs=1e-9)
