@@ -16,14 +16,20 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CUT = "\x01\x02\x01"
-#: A name and an assignment before a value (group 1, kept in the neighbouring words), or a value that stands alone.
-#: Values have no upper length: possessive quantifiers take a whole token in one pass.
-NAME = r"""((?i:api_?key|access_?key|key|token|secret|passw(?:or)?d|pwd|credentials?)["']?\s{0,3}[:=]\s{0,3}["']?)"""
-VALUE = r"([A-Za-z0-9_+/=.~@!$%^-]{6,}+)"
+#: A text is cut at ``CUT``; its own ``\x01`` become ``\x01\x03`` before that and come back after it, so no text holds a cut.
+OWN, KEPT, CUT = "\x01", "\x01\x03", "\x01\x02"
+#: A name and an assignment before a value (group 1, kept in the neighbouring words, and 2), a password inside an address (3 and
+#: 4), or a value that stands alone (5).  Nothing has an upper length: possessive quantifiers take a whole token in one pass.
+NAME = (
+    r"""((?i:api_?key|access_?key|key|token|secret|passw(?:or)?d|pwd|credentials?)["']?\s*+[:=]\s*+["']?"""
+    r"""|(?i:authorization)["']?\s*+[:=]\s*+["']?(?i:bearer|basic|token)\s++["']?|(?i:bearer)\s++(?=[A-Za-z._~+/=-]*+[0-9]))"""
+)
+VALUE = r"([\p{L}\p{N}_+/=.~@!$%^-]{6,}+)"
+ADDRESS = r"""(://[^\s:/@"'<>]*+:)([^\s@/"'<>]++)(?=@)"""
 ALONE = "|".join(  # literals come first: most positions fail at their first character
     [
         r"AKIA(?<![A-Za-z0-9]AKIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
+        r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s:,.]*+(?:-(?!----END)[A-Za-z0-9+/=\s:,.]*+)*+(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?",
         r"gh[pousr]_(?<![A-Za-z0-9]gh[pousr]_)[A-Za-z0-9]{30,}+",
         r"xox[abprs]-(?<![A-Za-z0-9]xox[abprs]-)[A-Za-z0-9-]{10,}+",
         r"sk-(?<![A-Za-z0-9]sk-)[A-Za-z0-9]{20,}+",
@@ -31,8 +37,10 @@ ALONE = "|".join(  # literals come first: most positions fail at their first cha
         r"(?<![A-Za-z0-9_+/=.@-])[A-Za-z_+/=-]*+[0-9][A-Za-z0-9_+/=-]*+(?![A-Za-z0-9_+/=@-])(?<=[A-Za-z0-9_+/=-]{20})",
     ]
 )
-PATTERN = f"{NAME}{VALUE}|({ALONE})"
+PATTERN = f"{NAME}{VALUE}|{ADDRESS}|({ALONE})"
 BEFORE, AFTER = 48, 24
+#: White space of any width between a name and its value counts as one space among the neighbouring words.
+WIDE = r"""(?<!\s)\s++(["']?)$"""
 
 #: Common words of prose and of code, for dictionary coverage.
 DICTIONARY = (
@@ -56,10 +64,10 @@ FEATURES = {
     "words": f"1 - length(regexp_replace(lower(c), '{'|'.join(sorted(DICTIONARY, key=len, reverse=True))}', '')) / double(length(c))",
     "hex": "double(c rlike '^[0-9a-f]+$')",
     "spaced": "regexp_count(c, '[-_.]') / double(length(c))",
-    "prefix": "double(c rlike '^(AKIA|gh[pousr]_|xox[abprs]-|sk-|eyJ)')",
+    "prefix": "double(c rlike '^(AKIA|gh[pousr]_|xox[abprs]-|sk-|eyJ|-----BEGIN)')",
     "stub": "double(lower(c) rlike 'example|xxx|your|change|dummy|placeholder|sample|redact|1234|abcd|0000|insert|todo|process.env|none|null')",
-    "named": "double(lower(l) rlike 'key|token|secret|passw|pwd|auth|credential')",
-    "assigned": "double(l rlike '[:=]\\\\s{0,3}[\"'']?$')",
+    "named": "double(lower(l) rlike 'key|token|secret|passw|pwd|auth|credential|bearer|://[^/@]*:$')",
+    "assigned": "double(lower(l) rlike '([:=]|bearer|basic)\\\\s*[\"'']?$')",
     "quoted": "double(l rlike '[\"'']$' and r rlike '^[\"'']')",
     "told_not": "double(lower(concat(l, ' ', r)) rlike '(?<![a-z.@])(example(?!\\.(com|net|org))|dummy|fake|placeholder|sample|commit|sha1|sha256|md5|checksum|uuid|revision|hash|digest|etag|trace)(?![a-z])')",
     "path": "double(lower(p) rlike '(^|[/._-])(tests?|examples?|fixtures?|samples?|mocks?|docs?)([/._-]|$)')",
@@ -95,7 +103,15 @@ def labelled_findings(rows: int, seed: int) -> list[tuple[str, str, str, str, in
 
     def good():
         before, q, after = setting(), "", " " + prose(3)
-        kind = r.randrange(8)
+        kind = r.randrange(11)
+        if kind == 8:
+            head = r.choice(["", "RSA ", "EC ", "OPENSSH "]) + "PRIVATE KEY-----"
+            return before, f"-----BEGIN {head}\n" + "\n".join(pick(mixed + "+/", 64) for _ in range(r.randint(1, 20))) + f"\n-----END {head}", after
+        if kind == 9:
+            where = r.choice(["postgres", "mysql", "amqp", "https", "redis", "mongodb"]) + "://" + r.choice(["", "app", "user", "admin", pick(string.ascii_lowercase, 6)])
+            return before + where + ":", pick(mixed + "!$%", r.randint(6, 24)), "@" + r.choice(["db", "host", "10.0.0.7", "example.com"]) + r.choice([":5432/", "/", " "]) + prose(2)
+        if kind == 10:
+            return before + r.choice(["Authorization: Bearer ", "authorization: bearer ", '"Authorization": "Bearer ', "Bearer ", "Authorization: Basic "]), pick(mixed + "_-.", r.randint(20, 60)) + r.choice(["", "=="]), after
         if kind == 0:
             return before, "AKIA" + pick(caps, 16), after
         if kind == 1:
@@ -105,13 +121,16 @@ def labelled_findings(rows: int, seed: int) -> list[tuple[str, str, str, str, in
         if kind == 3:
             return before, f"eyJ{pick(mixed, 20)}.{pick(mixed, 50)}.{pick(mixed, 30)}", after
         name, q = assign()
-        value = pick(hexes, r.choice([16, 18, 20, 24, 32, 40, 48, 64])) if kind in (4, 5) else pick(mixed + "_+/-", r.randint(14, 60)) if kind == 6 else pick(mixed + "!@$%", r.randint(9, 16))
+        value = pick(hexes, r.choice([16, 18, 20, 24, 32, 40, 48, 64])) if kind in (4, 5) else pick(mixed + "_+/-" + r.choice(["", "", "éüñßλ"]), r.randint(14, 60)) if kind == 6 else pick(mixed + "!@$%", r.randint(9, 16))
         return before + name, value, q + r.choice([" ", "\n", "### ", "; "]) + prose(3)
 
     def bad():
         before, after = setting(), " " + prose(3)
         word = lambda: r.choice(DICTIONARY)
-        kind = r.randrange(9)
+        kind = r.randrange(10)
+        if kind == 9:
+            where = r.choice(["postgres", "mysql", "https", "amqp"]) + "://" + r.choice(["user", "name", "username"])
+            return before + where + ":", r.choice(["password", "pass", "your_password", "changeme", "xxxx", "secret", "placeholder"]), "@" + r.choice(["host", "example.com", "localhost"]) + r.choice(["/", " "]) + prose(2)
         if kind == 0:
             return before + r.choice(["commit ", "revision ", "sha1 ", "hash: ", "checksum "]), pick(hexes, 40), after
         if kind == 1:
@@ -220,9 +239,10 @@ def with_findings(docs: DataFrame, forest: list, s: Settings = Settings(), text:
     sql = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
     col = f"`{text}`"
     where = f"coalesce(cast(`{path}` as string), '')" if path else "''"
-    marked = docs.withColumn("_parts", F.expr(f"split(regexp_replace(replace(coalesce({col}, ''), '{CUT}', '\x01'), {sql(PATTERN)}, '$1{CUT}$2$3{CUT}'), '{CUT}')"))
+    cuts = f"split(regexp_replace(replace(coalesce({col}, ''), '{OWN}', '{KEPT}'), {sql(PATTERN)}, '$1$3{CUT}$2$4$5{CUT}'), '{CUT}')"
+    marked = docs.withColumn("_parts", F.expr(f"transform({cuts}, x -> replace(x, '{KEPT}', '{OWN}'))"))
     cut = f"""if(size(_parts) < 3, array(), transform(sequence(1, size(_parts) - 2, 2), i -> named_struct(
-        'candidate', _parts[i], 'before', right(_parts[i - 1], {BEFORE}), 'after', left(_parts[i + 1], {AFTER}))))"""
+        'candidate', _parts[i], 'before', right(regexp_replace(_parts[i - 1], {sql(WIDE)}, ' $1'), {BEFORE}), 'after', left(_parts[i + 1], {AFTER}))))"""
     found = marked.withColumn("_cut", F.expr(cut))
     found = found.withColumn("_features", F.expr(f"transform(_cut, y -> {features_sql('y.before', 'y.candidate', 'y.after', where)})"))
     score = f"transform(_features, f -> {forest_sql(forest, 'f')})"

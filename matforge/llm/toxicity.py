@@ -229,9 +229,9 @@ def best_threshold(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable, label: str, settings, doc_id: str = "doc_id", text: str = "text"):
-    """Labelled texts, at most ``max_rows_per_class`` ids of each class and about ``max_bytes`` in all, chosen by hashes.
+    """Labelled texts, at most ``max_rows_per_class`` ids of each class and ``max_bytes`` in all, chosen by hashes.
 
-    An id with several texts, or with both labels, gives a row for each; equal rows count once.  Null ids are left out.
+    A text, or a share of the texts, that the bytes have no room for is passed over, and the others stay.  An id with several texts, or with both labels, gives a row for each; equal rows count once.  Null ids are left out.
     """
     rows = labels.filter(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).filter(usable("_id")).distinct()
     # a share of each class by hash, so that no task or driver holds more than the bound
@@ -243,15 +243,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable, label: str, sett
         chosen = chosen.unionByName(rows.filter((F.col("_y") == y) & (F.pmod(F.xxhash64("_id"), F.lit(top)) < share)).limit(some))
     # ids and labels only, a bounded number of them, are broadcast
     found = docs.select(docs[doc_id].alias("_id"), F.coalesce(docs[text], F.lit("")).alias("_t")).join(F.broadcast(chosen), "_id")
-    # repeated ids and long texts have no bound of their own: shares of the rows, by hash, as far as the bytes reach
-    found = found.withColumn("_h", F.pmod(F.xxhash64("_id", "_t"), F.lit(1024)).cast("int"))
-    sizes, held, top = found.groupBy("_h").agg(F.sum(F.octet_length("_t")).alias("n")).collect(), 0, 1024
-    for r in sorted(sizes):
-        held += r["n"]
-        if held > settings.max_bytes:
-            top = r["_h"]
-            break
-    found = list({(r["_id"], r["_t"], r["_y"]): r for r in found.filter(F.col("_h") < top).drop("_h").collect()}.values())
+    # repeated ids and long texts have no bound of their own: shares of the rows, by hash, those that the bytes have room for
+    found = found.withColumn("_b", F.octet_length("_t")).filter(F.col("_b") <= settings.max_bytes).withColumn("_h", F.pmod(F.xxhash64("_id", "_t"), F.lit(1024)).cast("int"))
+    held, fit = 0, []
+    for r in sorted(found.groupBy("_h").agg(F.sum("_b").alias("n")).collect()):
+        if held + r["n"] <= settings.max_bytes:
+            held += r["n"]
+            fit.append(r["_h"])
+    found = list({(r["_id"], r["_t"], r["_y"]): r for r in found.filter(F.col("_h").isin(fit)).drop("_h", "_b").collect()}.values())
     found.sort(key=lambda r: (r["_id"], r["_t"] or "", r["_y"]))
     return [r["_t"] or "" for r in found], [r["_y"] for r in found]
 

@@ -56,5 +56,5 @@ def test_stages(spark, corpus):
 
 def test_registered():
     names = [n.split("_")[0] for n in __spark_entry__.queries() if n.startswith("op")]
-    assert names == [f"op{i}" for i in range(1, 11)] and "pipeline" in __spark_entry__.queries()
+    assert names == [f"op{i}" for i in range(1, 14)] and "pipeline" in __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
