@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 DIM = 384
 ONE_SIDED = math.log(1.5) + 1  # smooth inverse frequency, over two texts, of what only one of them has
@@ -60,61 +60,188 @@ def jaccard(a: str, b: str, both_empty: float = 0.5, one_empty: float = 0.3) ->
     )
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel over the characters of ``a``."""
-    at: dict[str, int] = {}
-    for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    s = full
-    for c in b:
-        u = s & at.get(c, 0)
-        s = (s + u) | (s - u)
-    return len(a) - (s & full).bit_count()
+def _codes(texts: list[str], known: np.ndarray, pad: int) -> np.ndarray:
+    """One row for each text: the places of its characters in ``known``, and ``pad`` behind its end."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    flat = np.searchsorted(known, np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32))
+    out = np.full((len(texts), int(lengths.max(initial=0))), pad, np.int64)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = flat
+    return out
 
 
-def ratio(a: str, b: str) -> float:
-    """1 less the share of insertions and deletions that lead from one to the other."""
-    return 2 * lcs(a, b) / (len(a) + len(b)) if a or b else 1.0
+def lcs_lengths(a: list[str], b: list[str], room: int = 1 << 22) -> np.ndarray:
+    """Lengths of the longest common subsequences of all pairs at once, bit-parallel over 64-bit words.
 
-
-def token_sort_ratio(a: str, b: str) -> float:
-    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
-
-
-def token_set_ratio(a: str, b: str) -> float:
+    A bit of a pair's state stands for a character of its shorter text, and one step takes a character of the other text, in all
+    pairs.  Pairs of about one length go together; ``room`` bounds the table of where each character stands.
+    """
+    n = len(a)
+    out = np.zeros(n, np.int64)
+    short = [x if len(x) <= len(y) else y for x, y in zip(a, b)]
+    long = [y if len(x) <= len(y) else x for x, y in zip(a, b)]
+    sizes = np.fromiter(map(len, short), np.int64, n)
+    order = np.lexsort((np.fromiter(map(len, long), np.int64, n), sizes))
+    order = order[sizes[order] > 0]
+    one, full = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
+    at = 0
+    while at < len(order):
+        some = order[at : at + 4096]
+        known = np.unique(np.frombuffer("".join([short[i] for i in some] + [long[i] for i in some]).encode("utf-32-le", "surrogatepass"), np.uint32))
+        words = -(-int(sizes[some].max()) // 64)
+        some = some[: max(1, room // (words * (len(known) + 1)))]
+        words = -(-int(sizes[some].max()) // 64)
+        at += len(some)
+        x, y = (_codes([t[i] for i in some], known, len(known)) for t in (short, long))
+        rows = np.arange(len(some))
+        where = np.zeros((words, len(known) + 1, len(some)), np.uint64)
+        for i in range(x.shape[1]):
+            where[i >> 6, x[:, i], rows] |= one << np.uint64(i & 63)
+        where[:, -1] = 0  # nothing stands behind the end
+        state = np.full((words, len(some)), full)
+        for j in range(y.shape[1]):
+            carry = np.zeros(len(some), np.uint64)
+            for w in range(words):
+                s = state[w]
+                u = s & where[w, y[:, j], rows]
+                t = s + u
+                r = t + carry
+                carry = ((t < s) | (r < t)).astype(np.uint64)
+                state[w] = r | (s & ~u)
+        for w in range(words):
+            bits = np.clip(sizes[some] - 64 * w, 0, 64)
+            inside = np.where(bits == 64, full, (one << (bits % 64).astype(np.uint64)) - one)
+            out[some] += np.bitwise_count(~state[w] & inside)
+    return out
+
+
+def ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """1 less the share of insertions and deletions that lead from one text to the other, for all pairs; 1 if both are empty."""
+    total = np.array([len(x) + len(y) for x, y in zip(a, b)], float)
+    return np.where(total > 0, 2 * lcs_lengths(a, b) / np.maximum(total, 1), 1.0)
+
+
+def token_sort_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """Ratios of the texts with their tokens in order."""
+    in_order = {t: " ".join(sorted(t.split())) for t in {*a, *b}}
+    return ratios([in_order[t] for t in a], [in_order[t] for t in b])
+
+
+def token_set_ratios(a: list[str], b: list[str]) -> np.ndarray:
     """The best of comparing common tokens, and common tokens with either rest; 0 if a text has no token."""
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    common, left, right = x & y, " ".join(sorted(x - y)), " ".join(sorted(y - x))
-    if common and (not left or not right):
-        return 1.0
-    n = len(" ".join(sorted(common)))
-    gap = 1 if n else 0
-    na, nb = n + gap + len(left), n + gap + len(right)
-    away = len(left) + len(right) - 2 * lcs(left, right)
-    best = 1 - away / (na + nb)
-    if n:
-        best = max(best, 1 - (gap + len(left)) / (n + na), 1 - (gap + len(right)) / (n + nb))
-    return best
+    tokens = {t: set(t.split()) for t in {*a, *b}}
+    out, open_, rests = np.zeros(len(a)), [], []
+    for i, (s, t) in enumerate(zip(a, b)):
+        x, y = tokens[s], tokens[t]
+        if not x or not y:
+            continue
+        common, left, right = x & y, x - y, y - x
+        if common and (not left or not right):
+            out[i] = 1.0
+            continue
+        open_.append(i)
+        rests.append((len(" ".join(common)), " ".join(sorted(left)), " ".join(sorted(right))))
+    shared = lcs_lengths([left for _, left, _ in rests], [right for _, _, right in rests])
+    for i, (n, left, right), same in zip(open_, rests, shared.tolist()):
+        gap = 1 if n else 0
+        na, nb = n + gap + len(left), n + gap + len(right)
+        best = 1 - (len(left) + len(right) - 2 * same) / (na + nb)
+        if n:
+            best = max(best, 1 - (gap + len(left)) / (n + na), 1 - (gap + len(right)) / (n + nb))
+        out[i] = best
+    return out
+
+
+def _distinct(a: pd.Series, b: pd.Series) -> tuple[list[str], list[str], np.ndarray]:
+    """The distinct pairs of a batch, and which of them each row is; null is the empty text."""
+    places: dict[tuple[str, str], int] = {}
+    back = np.fromiter((places.setdefault((x or "", y or ""), len(places)) for x, y in zip(a, b)), np.int64, len(a))
+    return [x for x, _ in places], [y for _, y in places], back
+
+
+def token_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """Mean of the token-set and token-sort ratios (0 to 1), for all pairs."""
+    return (token_set_ratios(a, b) + token_sort_ratios(a, b)) / 2
 
 
 @F.pandas_udf(DoubleType())
 def token_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Mean of the token-set and token-sort ratios (0 to 1)."""
-    return pd.Series([(token_set_ratio(x or "", y or "") + token_sort_ratio(x or "", y or "")) / 2 for x, y in zip(a, b)])
+    x, y, back = _distinct(a, b)
+    return pd.Series(token_ratios(x, y)[back])
 
 
-def hashed_vector(text: str) -> np.ndarray:
-    """A signed count of hashed character n-grams, of length 1: stands in where no neural model is at hand."""
-    v = np.zeros(DIM, np.float32)
-    for word in text.lower().split():
+@F.pandas_udf(DoubleType())
+def sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The token-sort ratio (0 to 1) of texts as they are written."""
+    x, y, back = _distinct(a, b)
+    return pd.Series(token_sort_ratios(x, y)[back])
+
+
+def gram_counts(text: str) -> dict[str, int]:
+    """What ``grams`` counts, for one text."""
+    out: dict[str, int] = {}
+    for word in text.split():
         w = f" {word} "
         for n in (2, 3, 4):
             for i in range(len(w) - n + 1):
-                h = zlib.crc32(w[i : i + n].encode())
-                v[h % DIM] += 1 if h >> 31 else -1
+                k = w[i : i + n]
+                out[k] = out.get(k, 0) + 1
+    return out
+
+
+def pair_cosines(a: list[str], b: list[str]) -> np.ndarray:
+    """``pair_tfidf`` of all pairs of texts."""
+    counted = {t: gram_counts(t) for t in {*a, *b}}
+    squares = {t: sum(n * n for n in c.values()) for t, c in counted.items()}
+    w2, out = ONE_SIDED**2, np.zeros(len(a))
+    for i, (s, t) in enumerate(zip(a, b)):
+        x, y = counted[s], counted[t]
+        if x and y:
+            both = [(x[k], y[k]) for k in x.keys() & y.keys()]
+            xx, yy = sum(n * n for n, _ in both), sum(m * m for _, m in both)
+            norm = math.sqrt((w2 * (squares[s] - xx) + xx) * (w2 * (squares[t] - yy) + yy))
+            out[i] = sum(n * m for n, m in both) / norm
+    return out
+
+
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("dense", "tfidf", "fuzzy")]))
+def text_scores(a: pd.Series, b: pd.Series, u: pd.Series, v: pd.Series) -> pd.DataFrame:
+    """All three similarities of a batch of pairs: of their vectors (null without one), of their n-grams, of their tokens."""
+    x, y, back = _distinct(a, b)
+    dense = np.full(len(u), np.nan)
+    whole = np.flatnonzero((u.notna() & v.notna()).to_numpy())
+    if len(whole):
+        left, right = (np.stack(s.to_numpy()[whole]).astype(np.float64) for s in (u, v))
+        dense[whole] = np.einsum("ij,ij->i", left, right)
+    return pd.DataFrame({"dense": dense, "tfidf": pair_cosines(x, y)[back], "fuzzy": token_ratios(x, y)[back]})
+
+
+def _word_grams(word: str) -> tuple[list[int], list[int]]:
+    w, places, signs = f" {word} ", [], []
+    for n in (2, 3, 4):
+        for i in range(len(w) - n + 1):
+            h = zlib.crc32(w[i : i + n].encode())
+            places.append(h % DIM)
+            signs.append(1 if h >> 31 else -1)
+    return places, signs
+
+
+def hashed_vector(text: str, known: dict | None = None) -> np.ndarray:
+    """A signed count of hashed character n-grams, of length 1: stands in where no learned model is at hand.
+
+    ``known`` keeps the n-grams of words from one text to the next.
+    """
+    known = {} if known is None else known
+    if len(known) > 100_000:
+        known.clear()
+    places, signs = [], []
+    for word in text.lower().split():
+        got = known.get(word)
+        if got is None:
+            got = known[word] = _word_grams(word)
+        places += got[0]
+        signs += got[1]
+    v = np.bincount(places, signs, DIM).astype(np.float32) if places else np.zeros(DIM, np.float32)
     norm = float(np.linalg.norm(v))
     return v / norm if norm else v
 
@@ -124,7 +251,8 @@ Encoder = Callable[[], Callable[[list[str]], np.ndarray]]
 
 
 def hashed_encoder() -> Callable[[list[str]], np.ndarray]:
-    return lambda texts: np.stack([hashed_vector(t) for t in texts]) if texts else np.zeros((0, DIM), np.float32)
+    known: dict = {}
+    return lambda texts: np.stack([hashed_vector(t, known) for t in texts]) if texts else np.zeros((0, DIM), np.float32)
 
 
 def encode(text: Column | str, encoder: Encoder = hashed_encoder, batch: int = 32) -> Column:
@@ -140,10 +268,9 @@ def encode(text: Column | str, encoder: Encoder = hashed_encoder, batch: int = 3
     return run(text)
 
 
-def dense_similarity(a: str, b: str) -> Column:
-    """Dot product of two vectors, to four decimals, not below 0 nor above 1."""
-    dot = f"aggregate(zip_with({a}, {b}, (x, y) -> double(x) * double(y)), 0D, (t, x) -> t + x)"
-    return F.expr(f"greatest(0D, least(1D, bround({dot}, 4)))")
+def dense_similarity(dot: Column) -> Column:
+    """A dot product of two vectors to four decimals, not below 0 nor above 1; null where there is none."""
+    return F.when(dot.isNotNull() & ~F.isnan(dot), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.bround(dot, 4))))
 
 
 def semantic(dense: Column, tfidf: Column, fuzzy: Column, empty: Column) -> Column:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions import rules, similarity
 from ..stages import saved, staged
@@ -126,7 +125,7 @@ def score(items: DataFrame, gate: bool = True, least: float | None = None) -> Da
         dot = F.col("_dot")
     else:
         pairs = cross_source_pairs(prep)
-    scored = pairs.withColumn("text_score", F.lit(0.7) * dot + F.lit(0.3) * _sort_ratio("description_a", "description_b"))
+    scored = pairs.withColumn("text_score", F.lit(0.7) * dot + F.lit(0.3) * similarity.sort_ratio("description_a", "description_b"))
     scored = scored.withColumn("spec_score", similarity.jaccard("tokens_a", "tokens_b")).withColumn("unit_score", unit_score("unit_a", "unit_b"))
     scored = scored.withColumn("confidence", F.bround(0.5 * F.col("text_score") + 0.3 * F.col("spec_score") + 0.2 * F.col("unit_score"), 3))
     if least is not None:
@@ -136,10 +135,3 @@ def score(items: DataFrame, gate: bool = True, least: float | None = None) -> Da
     status = F.when(F.col("block_reason") != "", "safety_gate_blocked").when(F.col("confidence") >= rules.AUTO_LINK, "auto_linked").otherwise("needs_review")
     more = ["n_a", "n_b"] if "n" in items.columns else []
     return scored.select(F.col("item_id_a").alias("item_a"), F.col("item_id_b").alias("item_b"), *more, F.bround("text_score", 3).alias("text_score"), "spec_score", "unit_score", "confidence", status.alias("status"), "block_reason").orderBy(F.desc("confidence"), "item_a", "item_b")
-
-
-@F.pandas_udf(DoubleType())
-def _sort_ratio(a, b):
-    import pandas as pd
-
-    return pd.Series([similarity.token_sort_ratio(x or "", y or "") for x, y in zip(a, b)])

@@ -1,7 +1,8 @@
 """From catalog items to match records, as one lazy plan.
 
-Attributes, gram counts and dense vectors are computed once for each item; pairs only look them up.  Cheap conditions come
-before Arrow functions: source and category are in the join, the similarity filter comes before the gate.
+Attributes and dense vectors are computed once for each item; pairs only look them up.  Cheap conditions come before Arrow
+functions: source and category are in the join, the similarity filter comes before the gate.  The three text similarities are
+computed for a batch of pairs at once.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from ..stages import spread, staged
 
 
 def enriched(items: DataFrame, encoder: similarity.Encoder = similarity.hashed_encoder) -> DataFrame:
-    """Items with flat attributes, canonical material, grams and a dense vector.
+    """Items with flat attributes, canonical material and a dense vector.
 
     Takes catalog rows (``specs`` nested) or plain ones (``ord, item_id, source_cpse, description, uom``).  What is missing or
     empty is derived from the description.
@@ -35,16 +36,16 @@ def enriched(items: DataFrame, encoder: similarity.Encoder = similarity.hashed_e
         flat = flat.withColumns(given).drop("specs")
     ready = gate.prepared(flat.withColumn("category", F.coalesce("category", F.lit("OTHER"))))
     ready = ready.withColumn("expanded", column(text.expand_synonyms("clean_description")))
-    return ready.withColumn("grams", similarity.grams("expanded")).withColumn("vector", similarity.encode("clean_description", encoder))
+    return ready.withColumn("vector", similarity.encode("clean_description", encoder))
 
 
 def run(items: DataFrame, top_k: int = 15, strategy: str = "auto", encoder: similarity.Encoder = similarity.hashed_encoder) -> DataFrame:
     """Match records of ``items``, best first (ties: by item)."""
     ready = staged(enriched(spread(items, "ord"), encoder))
     pairs = candidates.candidate_pairs(ready, "vector", top_k, strategy)
-    fuzzy = similarity.token_ratio("expanded_a", "expanded_b")
     none = (F.col("clean_description_a") == "") | (F.col("clean_description_b") == "")
-    scored = pairs.withColumn("_fuzzy", fuzzy).withColumn("semantic", similarity.semantic(similarity.dense_similarity("vector_a", "vector_b"), similarity.pair_tfidf("grams_a", "grams_b"), F.col("_fuzzy"), none))
+    scored = pairs.withColumn("_s", similarity.text_scores("expanded_a", "expanded_b", "vector_a", "vector_b")).drop("vector_a", "vector_b")
+    scored = scored.withColumn("semantic", similarity.semantic(similarity.dense_similarity(F.col("_s.dense")), F.col("_s.tfidf"), F.col("_s.fuzzy"), none)).drop("_s")
     likely = scored.filter(F.col("semantic") >= rules.PREFILTER)
     return gate.match_records(staged(gate.decide(staged(gate.evaluate(likely))))).orderBy(F.desc("confidence_score"), "item_a", "item_b")
 

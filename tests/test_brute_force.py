@@ -206,3 +206,17 @@ def test_more_grams_than_a_vocabulary(spark):
     w.unpersist()
     for i in (0, 1):
         assert plain_dot(got[i], got[40]) == pytest.approx(plain_dot(v[i], v[40]), abs=1e-9)
+
+
+def test_batches_of_ratios():
+    """Pairs of all lengths around the borders of 64-bit words, in one batch."""
+    import random
+
+    rnd = random.Random(8)
+    texts = ["", "a", "日本" * 40] + ["".join(rnd.choices("ab cdé", k=k)) for k in (1, 2, 5, 62, 63, 64, 65, 66, 127, 128, 129, 130, 200)]
+    a, b = zip(*[(x, y) for x in texts for y in texts])
+    for room in (1, 2000, 1 << 22):
+        assert similarity.lcs_lengths(list(a), list(b), room).tolist() == [plain_lcs(x, y) for x, y in zip(a, b)]
+    assert similarity.ratios(list(a), list(b)) == pytest.approx([plain_ratio(x, y) for x, y in zip(a, b)])
+    assert similarity.pair_cosines(list(a), list(b)) == pytest.approx([plain_tfidf(x, y) for x, y in zip(a, b)], abs=1e-12)
+    assert similarity.lcs_lengths([], []).tolist() == []
