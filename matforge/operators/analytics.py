@@ -14,10 +14,12 @@ def by_source(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy(F.coalesce("source_cpse", F.lit("UNKNOWN")).alias("source_cpse")).agg(F.count("*").alias("items"))
 
 
-def by_status(matches: DataFrame) -> DataFrame:
-    """One row: matches in each state; those that are no match are not counted."""
+def by_status(matches: DataFrame, weight: str | None = None) -> DataFrame:
+    """One row: matches in each state; those that are no match are not counted.  A row stands for ``weight`` matches."""
+    n = F.col(weight) if weight else F.lit(1)
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     states = ("auto_linked", "needs_review", "safety_gate_blocked")
-    return matches.agg(F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in states))
+    return matches.agg(count(n).alias("total"), *(count(F.when(F.col("status") == s, n)).alias(s) for s in states))
 
 
 def savings(items: Column, codes: Column) -> tuple[Column, Column]:
@@ -26,10 +28,10 @@ def savings(items: Column, codes: Column) -> tuple[Column, Column]:
     return share, F.bround(F.lit(UNIT_SPEND) * F.when(share == 0, 25.0).otherwise(share) / 100 * SAVED, 2)
 
 
-def stats(catalog: DataFrame, matches: DataFrame, registry: DataFrame, mapping: DataFrame, audit: DataFrame) -> DataFrame:
-    """One row with all counts of the overview."""
+def stats(catalog: DataFrame, matches: DataFrame, registry: DataFrame, mapping: DataFrame, audit: DataFrame, weight: str | None = None) -> DataFrame:
+    """One row with all counts of the overview; a row of ``matches`` stands for ``weight`` of them."""
     one = (
-        by_status(matches)
+        by_status(matches, weight)
         .join(catalog.agg(F.count("*").alias("items")), how="cross")
         .join(registry.agg(F.count("*").alias("codes")), how="cross")
         .join(mapping.agg(F.count("*").alias("mappings")), how="cross")

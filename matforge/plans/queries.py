@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, similarity, specs, text
 from ..functions.dialect import DUCK, SPARK, Layers, layered_sql, with_layers
-from ..operators import analytics, candidates, gate, prototypes, registry
+from ..operators import analytics, candidates, encoder, gate, prototypes, registry
 from ..sources import catalogs
 from ..stages import staged
 from . import matching
@@ -180,13 +180,9 @@ def _pairs_sql() -> str:
     return f"WITH i AS (SELECT * FROM ({layered_sql(catalog_oracle(), _ITEMS, DUCK)})) SELECT {cols}, {sem} AS semantic FROM i a JOIN i b ON {_CONDITION}"
 
 
-def scored_pairs(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    """Every pair of items that the blocking by category lets meet, with a similarity of words (or ``columns`` only)."""
-    items = with_layers(catalog(spark, sf_dir), _ITEMS).select(*_SIDES)
-    if columns:
-        return candidates.blocked_pairs(staged(items.select(*columns)))
-    pairs = candidates.blocked_pairs(staged(items))
-    return with_overlap(pairs)
+def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of items that the blocking by category lets meet, with a similarity of words."""
+    return with_overlap(candidates.blocked_pairs(staged(with_layers(catalog(spark, sf_dir), _ITEMS).select(*_SIDES))))
 
 
 def with_overlap(pairs: DataFrame) -> DataFrame:
@@ -214,7 +210,7 @@ def decided_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.decide(gate.evaluate(scored_pairs(spark, sf_dir)))
 
 
-query("blocked_pairs_count", f"SELECT category_a AS category, cast(count(*) AS bigint) AS pairs FROM ({_pairs_sql()}) GROUP BY 1")(lambda spark, d: scored_pairs(spark, d, ["ord", "category", "source_cpse"]).groupBy(F.col("category_a").alias("category")).agg(F.count("*").alias("pairs")))
+query("blocked_pairs_count", f"SELECT category_a AS category, cast(count(*) AS bigint) AS pairs FROM ({_pairs_sql()}) GROUP BY 1")(lambda spark, d: candidates.blocked_counts(with_layers(catalog(spark, d), _ITEMS).select("ord", "category", "source_cpse")))
 _EVALUATED = "item_id_a, item_id_b, evaluated_specs, total_expected, matching_specs, match_ratio, coverage_ratio, technical_score, conflicts, unverified"
 query("gate_eval", f"SELECT {_EVALUATED} FROM ({_DECIDED})")(lambda spark, d: decided_pairs(spark, d).selectExpr(*_EVALUATED.split(", ")))
 _RECORD = "item_id_a, item_id_b, semantic, unit_score, confidence_score, status, sub_classification, block_reason"
@@ -331,6 +327,26 @@ SELECT {columns} FROM (
 _SCORED = "item_a, item_b, text_score, spec_score, unit_score, confidence, status, block_reason"
 
 
+@query("encoder_recall")
+def encoder_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``encoder, pairs, found, found_3``: pairs of one catalog item in two phrasings, and those of them among the 15 and the 3
+    nearest neighbours, with hashed counts and with vectors learned from the whole catalog.
+
+    Items of one description are one vector, as their neighbours would be nothing but each other.
+    """
+    items = _items(spark, sf_dir).filter("not (k = 3 and g % 3 = 0)")  # that phrasing contradicts its item
+    ids = staged(items.groupBy("description").agg(F.min("ord").alias("id")))
+    named = items.join(ids, "description").select("g", "id").distinct()
+    known = named.alias("x").join(named.alias("y"), "g").filter("x.id < y.id").select(F.col("x.id").alias("id"), F.col("y.id").alias("neighbour")).distinct()
+    out = None
+    for name, model in (("hashed", similarity.hashed_encoder), ("learned", encoder.learn(items, "description"))):
+        near = candidates.nearest(ids.select("id", similarity.encode("description", model).alias("v")), 15, "id", "v").select("id", "neighbour", "rank")
+        either = near.union(near.select("neighbour", "id", "rank")).groupBy("id", "neighbour").agg(F.min("rank").alias("rank"))
+        one = known.join(either, ["id", "neighbour"], "left").agg(F.count("*").alias("pairs"), F.count("rank").alias("found"), F.count_if(F.col("rank") <= 3).alias("found_3")).select(F.lit(name).alias("encoder"), "pairs", "found", "found_3")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("prototype_scores", _prototype_sql("SELECT item_id AS ord, CAST(item_id AS VARCHAR) AS item_id, CASE WHEN item_id % 2 = 0 THEN 'ONGC' ELSE 'IOCL' END AS source_cpse, text AS description, 'EA' AS unit, 1 AS n FROM benchmark", -1, _SCORED))
 def prototype_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older scorer over the benchmark texts as descriptions of two sources (it compares all pairs)."""
@@ -457,7 +473,7 @@ query("pending_blocked", f"SELECT * FROM ({_PENDING}) WHERE status = 'safety_gat
 def stats_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     reg, m = _shape(spark, sf_dir)
     audit = registry.empty(spark).audit
-    return analytics.stats(catalog(spark, sf_dir), decided_pairs(spark, sf_dir), reg, m, audit).drop("mappings", "audits", "human_approved")
+    return analytics.stats(catalog(spark, sf_dir), decided_classes(spark, sf_dir), reg, m, audit, weight="pairs").drop("mappings", "audits", "human_approved")
 
 
 _EXPORT_SQL = f"""SELECT r.cnmc_code AS "CNMC_RECOMMENDED_CODE", i.source_cpse AS "SOURCE_CPSE", i.item_id AS "LEGACY_MATERIAL_CODE", i.description AS "ORIGINAL_DESCRIPTION", i.unit_of_measure AS "UOM", i.category AS "CATEGORY",

@@ -6,6 +6,7 @@ import csv
 import io
 import json
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, specs, text
 from ..functions.dialect import column
-from ..stages import numbered
+from ..stages import counted_before, numbered
 
 FIELDS = list(rules.FIELD_ALIASES)
 REQUIRED = FIELDS[:3]
@@ -59,38 +60,66 @@ def map_columns(headers: list[str]) -> tuple[dict[str, str], list[str]]:
 #: Bound of the rows of one file, where rows of several are numbered together.
 ROWS_OF_A_FILE = 1 << 40
 _ROW = "path string, row_idx long, cells map<string,string>, mapping map<string,string>, unmapped array<string>, problem string"
+_KIND = pa.schema(
+    [("path", pa.string()), ("row_idx", pa.int64()), ("cells", pa.map_(pa.string(), pa.string())), ("mapping", pa.map_(pa.string(), pa.string())), ("unmapped", pa.list_(pa.string())), ("problem", pa.string())]
+)
+
+
+class Header(NamedTuple):
+    """What the first record of a file tells about all others."""
+
+    delimiter: str
+    names: list[str]
+    mapping: dict[str, str]
+    unmapped: list[str]
+    problem: str | None
+
+
+def header_of(body: str, blank: bool) -> Header:
+    """The header of a file that begins with ``body``; ``blank`` files have none."""
+    delimiter = delimiter_of(body[:4096])
+    names = [] if blank else [clean_name(h) for h in next(csv.reader(io.StringIO(body, newline=""), delimiter=delimiter), [])]
+    mapping, left = map_columns(names)
+    problem = "CSV file is empty." if blank else None if any(names) else "CSV header is missing or empty."
+    missing = [f for f in REQUIRED if f not in mapping.values()]
+    if not problem and missing:
+        problem = f"Missing mandatory column mapping for: {', '.join(missing)}"
+    return Header(delimiter, names, mapping, left, problem)
+
+
+def _records(text: str, h: Header) -> Iterator[list[tuple[str, str]] | None]:
+    """Cells by header of each record that has any; surplus cells are dropped, missing ones are absent."""
+    for cells in csv.reader(io.StringIO(text, newline=""), delimiter=h.delimiter) if any(h.names) else ():
+        if any(v.strip() for v in cells):
+            yield list(dict(zip(h.names, cells)).items())
+
+
+def _batches(rows: list[tuple], schema: pa.Schema = _KIND) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rows), 5000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 5000]), schema.types)], schema=schema)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of whole files.  A file without rows gives one row without cells, so that its report is not lost."""
-    schema = pa.schema(
-        [("path", pa.string()), ("row_idx", pa.int64()), ("cells", pa.map_(pa.string(), pa.string())), ("mapping", pa.map_(pa.string(), pa.string())), ("unmapped", pa.list_(pa.string())), ("problem", pa.string())]
-    )
     for b in batches:
         for path, content in zip(*(c.to_pylist() for c in b.columns)):
             body = decode(content).lstrip("\ufeff")
-            reader = csv.reader(io.StringIO(body, newline=""), delimiter=delimiter_of(body[:4096]))
-            headers = [clean_name(h) for h in next(reader, [])] if body.strip() else []
-            mapping, left = map_columns(headers)
-            problem = "CSV file is empty." if not body.strip() else None if any(headers) else "CSV header is missing or empty."
-            missing = [f for f in REQUIRED if f not in mapping.values()]
-            if not problem and missing:
-                problem = f"Missing mandatory column mapping for: {', '.join(missing)}"
-            out, n = [], 0
-            for cells in reader if any(headers) else ():
-                row = dict(zip(headers, cells))  # surplus cells are dropped, missing ones are absent
-                if any(v.strip() for v in cells):
-                    n += 1
-                    out.append((path, n, list(row.items()), list(mapping.items()), left, problem))
-            if not out:
-                out = [(path, 0, None, list(mapping.items()), left, problem)]
-            for at in range(0, len(out), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 5000]), schema.types)], schema=schema)
+            h = header_of(body, not body.strip())
+            out = []
+            for n, cells in enumerate(_records(body, h)):
+                if n:  # the first is the header
+                    out.append((path, n, cells, list(h.mapping.items()), h.unmapped, h.problem))
+            yield from _batches(out or [(path, 0, None, list(h.mapping.items()), h.unmapped, h.problem)])
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Raw rows of the CSV files at ``path``: quoted delimiters and line breaks, any line ending.  Each file has a header."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_rows, _ROW)
+    """Raw rows of the CSV files at ``path``: quoted delimiters and line breaks, any line ending.  Each file has a header.
+
+    A large file is read by many tasks (``sources.ranges``); a row is what the csv module makes of the whole file.
+    """
+    from . import ranges
+
+    return ranges.read_rows(spark, path)
 
 
 def rows_of_bytes(spark: SparkSession, content: bytes, name: str = "upload.csv") -> DataFrame:
@@ -162,7 +191,7 @@ def standardized(rows: DataFrame, default_cpse: str | None = None) -> DataFrame:
 def read_catalog(spark: SparkSession, path: str, cpse: str = "GENERIC") -> DataFrame:
     """The catalog of all CSV files at ``path``.  ``ord`` follows the files by name, then their rows: no two rows share one."""
     rows = read_rows(spark, path)
-    files = numbered(spark.read.format("binaryFile").load(path).select("path"), 0, "path").withColumnRenamed("number", "_file")
+    files = numbered(spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path")), 0, "path").withColumnRenamed("number", "_file")
     return standardized(rows.join(files, "path"), cpse)
 
 
@@ -202,8 +231,7 @@ def blocked_of_log(lines: DataFrame, line: str = "value", order: str = "line_no"
     is_a, is_b = F.startswith(t, F.lit("A:")), F.startswith(t, F.lit("B:"))
     blocked = ~is_a & ~is_b & F.expr(f"{line} like '%[BLOCKED%' and {line} like '%SAFETY GATE%'")
     marked = lines.select(*keys, order, t.alias("t"), ends.alias("ends"), F.when(is_a, found(r"A:\s*([A-Z0-9-]+)")).alias("a"), F.when(is_b, found(r"B:\s*([A-Z0-9-]+)")).alias("b"), F.when(blocked, F.coalesce(found(r"confidence=([0-9.]+)"), F.lit("none"))).alias("c"))
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = marked.withColumn("n", F.coalesce(F.sum(F.col("ends").cast("int")).over(before), F.lit(0)))
+    numbered = counted_before(marked, keys, order, "ends", "n")  # a log of any length is counted by all tasks
     # records are short: each is one group
     last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(order, c)))[c]
     rec = numbered.groupBy(*keys, "n").agg(last("a").alias("item_a"), last("b").alias("item_b"), last("c").alias("c"), F.max(F.when(F.col("ends"), F.trim(F.regexp_extract("t", "SAFETY GATE TRIGGERED:(.*)$", 1)))).alias("block_reason"), F.max("ends").alias("done"))
@@ -215,10 +243,12 @@ def blocked_of_log(lines: DataFrame, line: str = "value", order: str = "line_no"
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Blocked matches of the log files at ``path``."""
-    whole = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
-    lines = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
-    return blocked_of_log(lines)
+    """Blocked matches of the log files at ``path``; a large file is read by many tasks.
+
+    Lines are in the order of their range of the file, and in it of the reading task.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
+    return blocked_of_log(lines.withColumn("line_no", F.struct("at", F.monotonically_increasing_id().alias("i"))).drop("at"))
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +33,31 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys)
 
 
+def spread_by_range(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` in ranges of ``order``, each sorted, with ``p``: the number of a row's range.  Keep it before it is used twice:
+    ranges are drawn from samples."""
+    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("p", F.spark_partition_id())
+
+
+def counted_before(df: DataFrame, keys: list[str], order: str, flag: str, name: str) -> DataFrame:
+    """``df`` with ``name``: in how many rows before it, of its ``keys`` and in their ``order``, ``flag`` is true.
+
+    Rows are counted range by range: what came in earlier ranges is known from their sums, so one long sequence of rows is
+    spread over all tasks.
+    """
+    rows = saved(spread_by_range(df, *keys, order))
+    one = lambda: F.col(flag).cast("long")
+    sums = rows.groupBy("p", *keys).agg(F.sum(one()).alias("n"))  # one row for each range and key that meet
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    start = sums.withColumn("_start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    same = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys], F.col("r.p") == F.col("s.p"))
+    within = Window.partitionBy("p", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    running = rows.withColumn("_run", F.coalesce(F.sum(one()).over(within), F.lit(0)))
+    joined = running.alias("r").join(start.alias("s"), same)
+    return joined.select(*(F.col(f"r.{c}") for c in df.columns), (F.col("r._run") + F.col("s._start")).alias(name))
+
+
 def numbered(rows: DataFrame, start: int, order: str = "ord") -> DataFrame:
     """``rows`` with ``number``, from ``start`` on in the order of ``order``: ranges are sorted apart and offset by the sizes of
     the ranges before, so no task holds all rows."""

@@ -110,6 +110,9 @@ def test_blocks_meet_once(spark):
     want = sorted((a[0], b[0]) for a, b in combinations(rows, 2) if (kind(a) == kind(b) or "OTHER" in (kind(a), kind(b))) and not (a[3] and a[3] == b[3]))
     assert got == want
     assert candidates.blocked_pairs(df.filter("false")).isEmpty()
+    counts = Counter(kind(next(r for r in rows if r[0] == a)) for a, _ in want)
+    assert {r["category"]: r["pairs"] for r in candidates.blocked_counts(df).collect()} == counts
+    assert candidates.blocked_counts(df.filter("false")).isEmpty()
 
 
 def test_prototype_scores(spark):
