@@ -11,7 +11,7 @@ from ..functions import rules, similarity, specs, text
 from ..functions.dialect import DUCK, SPARK, Layers, layered_sql, with_layers
 from ..operators import analytics, candidates, encoder, gate, prototypes, registry
 from ..sources import catalogs
-from ..stages import staged
+from ..stages import shared_folder, staged
 from . import matching
 from .catalog_view import catalog, catalog_oracle
 
@@ -382,6 +382,30 @@ def mint_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.mapping.select("cnmc_code", "source_cpse", "original_code")
 
 
+_SESSIONS = f"""WITH c AS (SELECT g, k, source_cpse, {CODE} AS code FROM ({catalog_oracle()})),
+one AS (SELECT g, row_number() OVER (ORDER BY g) AS n FROM (SELECT g FROM c WHERE k IN (0, 1) GROUP BY g HAVING count(*) = 2)),
+two AS (SELECT g, (SELECT count(*) FROM one) + row_number() OVER (ORDER BY g) AS n FROM (SELECT g FROM c WHERE k IN (1, 2) GROUP BY g HAVING count(*) = 2) WHERE g NOT IN (SELECT g FROM one))
+SELECT printf('CNMC-%06d', n) AS cnmc_code, source_cpse, code AS original_code FROM c JOIN one USING (g) WHERE k IN (0, 1) OR k = 2
+UNION ALL SELECT printf('CNMC-%06d', n), source_cpse, code FROM c JOIN two USING (g) WHERE k IN (1, 2)"""
+
+
+@query("registry_sessions", _SESSIONS)
+def registry_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored registry in two sessions over the whole catalog: the first mints a code for the first two phrasings of each item, the
+    second loads what was stored, adds the third phrasing, and stores all tables as the next version."""
+    items = staged(_items(spark, sf_dir).select("g", "k", "source_cpse", "item_id"))
+
+    def linked(one: int, other: int) -> DataFrame:
+        a, b = (items.filter(F.col("k") == k).select("g", F.col("item_id").alias(f"item_{s}"), F.col("source_cpse").alias(f"source_cpse_{s}")) for k, s in ((one, "a"), (other, "b")))
+        both = a.join(b, "g").withColumnRenamed("g", "ord")
+        return both.withColumns({"match_id": F.concat_ws("-", F.lit("M"), "item_a", "item_b"), "canonical_description": F.col("item_a"), "confidence_score": F.lit(0.9)})
+
+    path = shared_folder(spark, "registry")
+    for pair in ((0, 1), (1, 2)):
+        registry.transact(spark, path, lambda t, pair=pair: registry.mint(t, linked(*pair), "auto_linked", "tier2_system", _dt()))
+    return registry.load(spark, path).mapping.select("cnmc_code", "source_cpse", "original_code")
+
+
 def _dt():
     from datetime import datetime
 
