@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import postings
+
 UNIT_SPEND, SAVED = 500.0, 0.12  # assumed spend by item and share saved
 
 
@@ -41,9 +43,19 @@ def stats(catalog: DataFrame, matches: DataFrame, registry: DataFrame, mapping:
     return one.withColumn("duplicate_percent", share).withColumn("savings", saved)
 
 
-def filter_catalog(catalog: DataFrame, cpse: str | None = None, search: str | None = None) -> DataFrame:
-    """Items of a source (any case) whose description or id holds ``search`` literally (any case)."""
-    out = catalog
+def catalog_index(catalog: DataFrame) -> postings.Index:
+    """Postings for ``filter_catalog`` and ``search``, by ``ord``."""
+    return postings.build((catalog, "ord", [c for c in ("clean_description", "item_id", "raw_description") if c in catalog.columns]))
+
+
+def registry_index(registry: DataFrame, mapping: DataFrame) -> postings.Index:
+    """Postings for ``search``, by code."""
+    return postings.build((registry, "cnmc_code", ["canonical_description", "cnmc_code"]), (mapping, "cnmc_code", ["original_code"]))
+
+
+def filter_catalog(catalog: DataFrame, cpse: str | None = None, search: str | None = None, index: postings.Index | None = None) -> DataFrame:
+    """Items of a source (any case) whose description or id holds ``search`` literally (any case); ``index`` narrows them first."""
+    out = index.narrowed(catalog, "ord", [search]) if index and search else catalog
     if cpse:
         out = out.filter(F.upper("source_cpse") == cpse.upper())
     if search:
@@ -74,10 +86,15 @@ def filter_audit(audit: DataFrame, action: str | None = None) -> DataFrame:
     return out.orderBy(F.desc("timestamp"), F.desc("entry_id"))
 
 
-def search(registry: DataFrame, mapping: DataFrame, catalog: DataFrame, q: str) -> tuple[DataFrame, DataFrame]:
+def search(registry: DataFrame, mapping: DataFrame, catalog: DataFrame, q: str, indexes: tuple[postings.Index | None, postings.Index | None] = (None, None)) -> tuple[DataFrame, DataFrame]:
     """Codes by description, code or mapped code (``%`` and ``_`` are wildcards), with their sources; and the first ten
-    catalog items that hold ``q`` literally."""
+    catalog items that hold ``q`` literally.  ``indexes`` (of the registry, of the catalog) narrow both first."""
     like = f"%{q}%"
+    codes, items = indexes
+    if codes:
+        registry, mapping = (codes.narrowed(t, "cnmc_code", postings.literal_runs(q)) for t in (registry, mapping))
+    if items:
+        catalog = items.narrowed(catalog, "ord", [q])
     own = mapping.filter(F.col("original_code").ilike(like)).select("cnmc_code", F.lit(True).alias("_hit")).distinct()
     hits = registry.join(own, "cnmc_code", "left").filter(F.col("canonical_description").ilike(like) | F.col("cnmc_code").ilike(like) | F.col("_hit"))
     sources = mapping.groupBy("cnmc_code").agg(F.array_sort(F.collect_set("source_cpse")).alias("sources"))

@@ -450,20 +450,21 @@ def registry_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     reg, m = _shape(spark, sf_dir)
     items = _items(spark, sf_dir).withColumn("clean_description", F.col("description"))
-    return analytics.search(reg, m, items, "1_3")[0].select("cnmc_code", F.coalesce(F.array_join("sources", ","), F.lit("")).alias("sources"))
+    return analytics.search(reg, m, items, "1_3", (analytics.registry_index(reg, m), None))[0].select("cnmc_code", F.coalesce(F.array_join("sources", ","), F.lit("")).alias("sources"))
 
 
 @query("catalog_search", f"SELECT ord, item_id FROM (SELECT *, {CODE} AS item_id FROM ({catalog_oracle()})) WHERE contains(lower(description), 'gate valve') OR contains(lower(item_id), 'gate valve') ORDER BY ord LIMIT 10")
 def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten hits: the limit is the feature."""
     reg, m = _shape(spark, sf_dir)
-    return analytics.search(reg, m, _items(spark, sf_dir).withColumn("clean_description", F.col("description")), "Gate Valve")[1].select("ord", "item_id")
+    items = _items(spark, sf_dir).withColumn("clean_description", F.col("description"))
+    return analytics.search(reg, m, items, "Gate Valve", (None, analytics.catalog_index(items)))[1].select("ord", "item_id")
 
 
 @query("catalog_filter", f"SELECT ord FROM ({catalog_oracle()}) WHERE source_cpse = 'SAIL' AND contains(lower(description), 'pump')")
 def catalog_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir).withColumns({"clean_description": F.col("description"), "raw_description": F.col("description")})
-    return analytics.filter_catalog(items, "sail", "Pump").select("ord")
+    return analytics.filter_catalog(items, "sail", "Pump", analytics.catalog_index(items)).select("ord")
 
 
 _DEC = "(SELECT *, concat('M-', item_id_a, '-', item_id_b) AS match_id FROM d)"
