@@ -239,15 +239,17 @@ def pending(matches: DataFrame, catalog: DataFrame, mapping: DataFrame, decision
     ``status`` of a row is the reviewer's decision if there is one, else approved if both items share a code.
     """
     latest = decisions.groupBy("match_id").agg(F.max_by("decision", "reviewed_at").alias("decided"))
-    codes = mapping.groupBy(F.col("original_code")).agg(F.min("cnmc_code").alias("code"))
-    linked = mapping.alias("x").join(mapping.alias("y"), "cnmc_code").filter("x.original_code <> y.original_code").select(F.col("x.original_code").alias("item_a"), F.col("y.original_code").alias("item_b"), F.lit(True).alias("linked")).distinct()
+    codes = mapping.groupBy("original_code").agg(F.array_sort(F.collect_set("cnmc_code")).alias("codes"))
     all_of = mapping.groupBy(F.col("cnmc_code")).agg(F.array_sort(F.collect_list(F.struct("source_cpse", "original_code"))).alias("mappings"))
-    out = matches.join(latest, "match_id", "left").join(linked, ["item_a", "item_b"], "left")
+    out = matches.join(latest, "match_id", "left")
     for s in "ab":
         out = out.join(catalog.select(F.col("item_id").alias(f"item_{s}"), F.col("clean_description").alias(f"description_{s}")), f"item_{s}", "left")
-        out = out.join(codes.select(F.col("original_code").alias(f"item_{s}"), F.col("code").alias(f"_code_{s}")), f"item_{s}", "left")
-    shown = F.when(F.col("decided") == "approved", "human_approved").when(F.col("decided") == "rejected", "human_rejected").when(F.col("linked"), "human_approved").otherwise(F.col("status"))
-    out = out.withColumn("cnmc_code", F.coalesce("_code_a", "_code_b")).withColumn("status", shown).join(all_of, "cnmc_code", "left").drop("decided", "linked", "_code_a", "_code_b")
+        out = out.join(codes.select(F.col("original_code").alias(f"item_{s}"), F.col("codes").alias(f"_codes_{s}")), f"item_{s}", "left")
+    # two items are linked if they share a code: their own codes are compared, not all items of each code
+    linked = F.coalesce(F.arrays_overlap("_codes_a", "_codes_b"), F.lit(False)) & (F.col("item_a") != F.col("item_b"))
+    shown = F.when(F.col("decided") == "approved", "human_approved").when(F.col("decided") == "rejected", "human_rejected").when(linked, "human_approved").otherwise(F.col("status"))
+    code = lambda s: F.try_element_at(f"_codes_{s}", F.lit(1))
+    out = out.withColumn("cnmc_code", F.coalesce(code("a"), code("b"))).withColumn("status", shown).join(all_of, "cnmc_code", "left").drop("decided", "_codes_a", "_codes_b")
     if status and status != "all":
         out = out.filter(F.col("status") == {"safety_blocked": "safety_gate_blocked"}.get(status, status))
     return out
