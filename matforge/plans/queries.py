@@ -501,9 +501,10 @@ def stats_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.stats(catalog(spark, sf_dir), decided_classes(spark, sf_dir), reg, m, audit, weight="pairs").drop("mappings", "audits", "human_approved")
 
 
-_EXPORT_SQL = f"""SELECT r.cnmc_code AS "CNMC_RECOMMENDED_CODE", i.source_cpse AS "SOURCE_CPSE", i.item_id AS "LEGACY_MATERIAL_CODE", i.description AS "ORIGINAL_DESCRIPTION", i.unit_of_measure AS "UOM", i.category AS "CATEGORY",
+_EXPORT_SQL = f"""SELECT r.canonical_description AS "STANDARDIZED_DESCRIPTION", printf('%.2f', s_acctbal / 10000) AS "CONFIDENCE_SCORE", 'auto_linked' AS "MERGE_TYPE", 'READY_FOR_SAP_ERP_IMPORT' AS "MAPPING_STATUS",
+strftime(TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(s_suppkey % 28 AS INTEGER)), '%Y-%m-%dT%H:%M:%S') AS "EXPORT_TIMESTAMP", r.cnmc_code AS "CNMC_RECOMMENDED_CODE", i.source_cpse AS "SOURCE_CPSE", i.item_id AS "LEGACY_MATERIAL_CODE", i.description AS "ORIGINAL_DESCRIPTION", i.unit_of_measure AS "UOM", i.category AS "CATEGORY",
 coalesce(nullif(concat_ws('; ', 'Size: ' || i.size, 'Rating: ' || i.pressure_rating, 'Material: ' || coalesce(i.material_grade, i.material_family), 'Facing: ' || i.facing, 'Sch: ' || i.schedule, 'Power: ' || i.power_hp, 'Speed: ' || i.speed_rpm), ''), 'N/A') AS "KEY_SPECIFICATIONS"
-FROM ({_REGISTRY}) r JOIN ({layered_sql(catalog_oracle(), [*_ITEM, *_SPECS], DUCK)}) i ON printf('CNMC-%06d', i.g) = r.cnmc_code"""
+FROM ({_REGISTRY.replace("s_nationkey", "s_nationkey, s_acctbal, s_suppkey")}) r JOIN ({layered_sql(catalog_oracle(), [*_ITEM, *_SPECS], DUCK)}) i ON printf('CNMC-%06d', i.g) = r.cnmc_code"""
 
 
 @query("sap_export", _EXPORT_SQL)
@@ -512,15 +513,16 @@ def sap_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = specs.extract(_items(spark, sf_dir), "description")
     full = items.select("*", specs.nested()).withColumns({"raw_description": F.col("description"), "clean_description": F.col("description"), "category_hint": F.col("category")})
     mapping = items.select(F.col("ord").alias("id"), registry.code_of(F.col("g")).alias("cnmc_code"), "source_cpse", F.col("item_id").alias("original_code"))
-    return analytics.sap_export(reg, mapping, full).drop("STANDARDIZED_DESCRIPTION", "CONFIDENCE_SCORE", "MERGE_TYPE", "MAPPING_STATUS", "EXPORT_TIMESTAMP")
+    return analytics.sap_export(reg, mapping, full)
 
 
-@query("audit_export", """SELECT event_id AS "ENTRY_ID", event_type AS "ACTION", CASE WHEN user_id % 2 = 0 THEN 'N/A' ELSE concat('CNMC-', user_id) END AS "CNMC_CODE", coalesce(json_extract_string(props, '$.k'), '') AS "MATCH_ID" FROM events""")
+@query("audit_export", """SELECT event_id AS "ENTRY_ID", event_type AS "ACTION", CASE WHEN user_id % 2 = 0 THEN 'N/A' ELSE concat('CNMC-', user_id) END AS "CNMC_CODE", coalesce(json_extract_string(props, '$.k'), '') AS "MATCH_ID",
+strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "TIMESTAMP", 'x' AS "ACTOR", '' AS "ITEM_A", '' AS "ITEM_B", '' AS "CONFIDENCE_SCORE", '' AS "REASON_OR_NOTES" FROM events""")
 def audit_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     details = F.regexp_replace("props", '"k"', '"match_id"')
     audit = e.select(F.col("event_id").alias("entry_id"), F.when(F.col("user_id") % 2 != 0, F.concat(F.lit("CNMC-"), "user_id")).alias("cnmc_code"), F.col("event_type").alias("action"), F.lit("x").alias("actor"), details.alias("details"), F.col("ts").cast("timestamp_ntz").alias("timestamp"))
-    return analytics.audit_export(audit).select("ENTRY_ID", "ACTION", "CNMC_CODE", "MATCH_ID")
+    return analytics.audit_export(audit)
 
 
 query("audit_filter", "SELECT event_id, event_type FROM events WHERE event_type = 'error'")(
