@@ -9,14 +9,19 @@ A pair at the threshold shares no filter of one code with a probability that dep
 and grows with the number of codewords.  So it is measured for the code at hand, and independent codes are added until all
 of them miss such a pair with probability ``miss`` at most.
 
-Equal vectors form one class first.  A crowded filter is cut into blocks of bounded size and every pair of blocks is compared
-as matrices in a task of its own; pairs are never rows.  A pair that shares several filters is counted in its smallest.
+Equal vectors form one class first.  Near copies of one vector crowd the same filters; those within half the threshold's angle
+of the mean of such a crowd form a ball.  Any two of a ball are linked by the triangle inequality, so they are counted, not
+compared.  A crowded filter is cut into blocks of bounded size and pairs of blocks are compared as matrices in a task of their
+own; blocks of one ball do not meet each other; pairs are never rows.  A pair that shares several filters is counted in its
+smallest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from math import acos, cos
 from statistics import NormalDist
 
 import numpy as np
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import single_threaded, with_columns, written
+from .common import join_known, single_threaded, with_columns, written
 from .graph import components
 
 PARTS = 4
@@ -38,6 +43,7 @@ class Settings:
     miss: float = 1e-8  # bound for a pair at the threshold
     probes: int = 2000  # pairs that measure one code
     block: int = 1024
+    crowd: int = 32  # vectors in one filter among which a ball is looked for
     seed: int = 17
 
 
@@ -110,21 +116,29 @@ class Codes:
         return [np.concatenate([f + i * code.words**PARTS for i, (code, f) in enumerate(zip(self.codes, fs))]) for fs in zip(*each)]
 
 
+def normed(x: np.ndarray) -> np.ndarray:
+    """Unit vectors; components are scaled first, so that squares stay in range."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@lru_cache(maxsize=8)
+def codes_of(dim: int, words: int, s: Settings) -> Codes:
+    """The codes of a dimension; a worker measures them once for all its tasks."""
+    return Codes(dim, words, s)
+
+
 def _codes(vectors: DataFrame, words: int, s: Settings) -> DataFrame:
     def make():
         single_threaded()
-        codes: dict[int, Codes] = {}
-
         def work(batch: pa.RecordBatch) -> dict:
             rows, out = batch.column(batch.schema.get_field_index("v")).to_pylist(), [None] * batch.num_rows
             by_dim: dict[int, list[int]] = {}
             for i, v in enumerate(rows):
                 by_dim.setdefault(len(v), []).append(i)
             for dim, at in by_dim.items():
-                if dim not in codes:
-                    codes[dim] = Codes(dim, words, s)
                 x = np.array([rows[i] for i in at], float)
-                for i, f in zip(at, codes[dim].decode(x / np.linalg.norm(x, axis=1, keepdims=True))):
+                for i, f in zip(at, codes_of(dim, words, s).decode(normed(x))):
                     out[i] = f
             return {"fs": out}
 
@@ -135,7 +149,7 @@ def _codes(vectors: DataFrame, words: int, s: Settings) -> DataFrame:
 
 def _compare(s: Settings):
     """Sums over sorted groups ``(dim, label, f, lo, hi)``: for each vector its links and one neighbour or more that connect it."""
-    schema = pa.schema([("cls", pa.int64()), ("links", pa.int64()), ("near", pa.int64())])
+    schema = pa.schema([(c, pa.int64()) for c in ("cid", "cls", "links", "near")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single_threaded()
@@ -144,19 +158,19 @@ def _compare(s: Settings):
         def close():
             if sum(len(h[0]) for h in held) < 2:
                 return
-            cls, block, mult, x, many, sets = held[0] if len(held) == 1 else map(np.concatenate, zip(*held))
-            x = x.astype(float)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            cid, cls, block, ball, mult, x, many, sets = held[0] if len(held) == 1 else map(np.concatenate, zip(*held))
+            x = normed(x.astype(float))
             near = x @ x.T >= s.threshold
             np.fill_diagonal(near, False)
             if key[3] != key[4]:
                 near &= block[:, None] != block[None, :]
+            near &= (ball[:, None] != ball[None, :]) | (ball < 0)[:, None]  # those of one ball are counted with it
             if not near.any():
                 return
             # of a pair that shares a smaller filter, the links are counted there
             live = np.flatnonzero(near.any(1))
             which = sets[np.repeat(near.any(1), many)]
-            cls, mult, many, near = cls[live], mult[live], many[live], near[np.ix_(live, live)]
+            cid, cls, mult, many, near = cid[live], cls[live], mult[live], many[live], near[np.ix_(live, live)]
             names, times = np.unique(which, return_counts=True)
             names, counted = names[times > 1], near.copy()
             at = np.repeat(np.arange(len(live)), many)
@@ -173,10 +187,10 @@ def _compare(s: Settings):
                 if (new == label).all():
                     break
                 label = new
-            out.extend(zip(cls.tolist(), links.tolist(), label.tolist()))
+            out.extend(zip(cid.tolist(), cls.tolist(), links.tolist(), label.tolist()))
 
         def batch():
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], []))], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], [], []))], schema=schema)
 
         def lists(column) -> tuple[np.ndarray, np.ndarray]:
             """The values of all lists and where each begins (and the last ends)."""
@@ -186,8 +200,8 @@ def _compare(s: Settings):
         for b in batches:
             if not b.num_rows:
                 continue
-            col = {c: b.column(b.schema.get_field_index(c)) for c in ("dim", "label", "f", "lo", "hi", "cls", "own", "mult", "v", "earlier")}
-            num = {c: col[c].to_numpy(zero_copy_only=False) for c in ("dim", "f", "lo", "hi", "cls", "own", "mult")}
+            col = {c: b.column(b.schema.get_field_index(c)) for c in ("dim", "label", "f", "lo", "hi", "cid", "cls", "block", "ball", "mult", "v", "earlier")}
+            num = {c: col[c].to_numpy(zero_copy_only=False) for c in ("dim", "f", "lo", "hi", "cid", "cls", "block", "ball", "mult")}
             names = col["label"].to_pylist()
             (v, v_at), (e, e_at) = lists(col["v"]), lists(col["earlier"])
             new = np.array([x != y for x, y in zip(names[1:], names)], bool)
@@ -199,7 +213,7 @@ def _compare(s: Settings):
                 if now != key:
                     close()
                     key, held = now, []
-                held.append((num["cls"][i:j], num["own"][i:j], num["mult"][i:j], v[v_at[i] : v_at[j]].reshape(j - i, -1), np.diff(e_at[i : j + 1]), e[e_at[i] : e_at[j]]))
+                held.append((*(num[c][i:j] for c in ("cid", "cls", "block", "ball", "mult")), v[v_at[i] : v_at[j]].reshape(j - i, -1), np.diff(e_at[i : j + 1]), e[e_at[i] : e_at[j]]))
             if len(out) > 20_000:
                 yield batch()
                 out.clear()
@@ -209,6 +223,50 @@ def _compare(s: Settings):
     return run
 
 
+def _balls(coded: DataFrame, crowds: DataFrame, s: Settings) -> DataFrame:
+    """``cid, cls, mult, dim, label, ball``: classes within half the threshold's angle of the mean of their most crowded filter.
+
+    ``ball`` is that filter.  The mean needs not be a vector of the table.  Sums are made before the shuffle, one row for each
+    filter and component comes out of a task.
+    """
+    keys = ["dim", "label", "ball"]
+    most = join_known(coded.select("dim", "label", "cid", F.explode("fs").alias("f")), crowds.filter(F.col("count") >= s.crowd).withColumn("k", F.col("count")), ["dim", "label", "f"])
+    home = most.filter("count is not null").groupBy("cid").agg(F.max_by("f", F.struct("count", -F.col("f"))).alias("ball"))
+    scaled = coded.withColumn("top", F.expr("double(array_max(transform(v, x -> abs(x))))")).withColumn("u", F.expr("transform(v, x -> double(x) / top)"))
+    unit = F.expr("transform(u, x -> x / norm)")
+    at = written(scaled.withColumn("norm", F.expr("sqrt(aggregate(u, 0D, (t, y) -> t + y * y))")).select("cid", "cls", "mult", "dim", "label", unit.alias("u")).join(home, "cid"), "vector-homes")
+    sums = at.select(*keys, F.posexplode("u").alias("i", "x")).groupBy(*keys, "i").agg(F.sum("x").alias("x"), F.count("*").alias("k"))
+    means = sums.groupBy(*keys).agg(F.max("k").alias("k"), F.expr("transform(array_sort(collect_list(struct(i, x))), p -> p.x)").alias("mean"))
+    dot = "aggregate(zip_with(u, mean, (x, y) -> x * y), 0D, (t, z) -> t + z)"
+    size = "sqrt(aggregate(mean, 0D, (t, y) -> t + y * y))"  # nil where vectors cancel each other: no ball there
+    limit = cos(acos(max(-1.0, min(1.0, s.threshold))) / 2) + 1e-9
+    return join_known(at, written(means, "vector-means"), keys).filter(F.expr(f"{size} > 1e-6 and {dot} >= {limit!r} * {size}")).select("cid", "cls", "mult", *keys)
+
+
+def _counted(balls: DataFrame) -> DataFrame:
+    """``cid, cls, links, near`` for each class of a ball: all others of its ball, without comparing."""
+    keys = ["dim", "label", "ball"]
+    sizes = balls.groupBy(*keys).agg(F.sum("mult").alias("all"), F.min("cls").alias("near"), F.count("*").alias("k"))
+    return join_known(balls, sizes, keys).select("cid", "cls", (F.col("all") - F.col("mult")).alias("links"), "near")
+
+
+def _placed(coded: DataFrame, crowds: DataFrame, balls: DataFrame, s: Settings) -> DataFrame:
+    """``cid, f, lo, hi, block, ball``: each class at the pairs of blocks of each filter where it may meet one that is not of its ball.
+
+    The largest ball of a filter has blocks of its own, which meet the others' only.
+    """
+    keys = ["dim", "label", "f"]
+    rows = coded.select("cid", "dim", "label", "fs").join(balls.select("cid", "ball"), "cid", "left")
+    rows = rows.select("dim", "label", "cid", F.coalesce("ball", F.lit(-1)).alias("ball"), F.explode("fs").alias("f"))
+    main = rows.filter("ball >= 0").groupBy(*keys, "ball").count().groupBy(*keys).agg(F.max(F.struct("count", "ball")).alias("m")).select(*keys, F.col("m.ball").alias("main"), F.col("m.count").alias("n0"))
+    sizes = crowds.join(main, keys, "left").withColumn("n0", F.coalesce("n0", F.lit(0))).filter("count > n0")
+    sizes = sizes.select(*keys, "main", F.expr(f"cast(ceil(n0 / {s.block}.0) as int)").alias("b0"), F.expr(f"cast(ceil((count - n0) / {s.block}.0) as int)").alias("b1"), F.col("count").alias("k"))
+    dealt = join_known(rows, written(sizes, "vector-blocks"), keys).filter("b1 is not null").withColumn("own", F.coalesce(F.col("ball") == F.col("main"), F.lit(False)))
+    dealt = dealt.withColumn("block", F.expr("if(own, pmod(xxhash64(cid, f), b0), b0 + pmod(xxhash64(cid, f), b1))"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("if(own, sequence(bigint(b0), b0 + b1 - 1), sequence(0L, b0 + b1 - 1))")))
+    return dealt.select("cid", "f", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "ball")
+
+
 def near_vectors(df: DataFrame, s: Settings = Settings(), vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """One row for each row of ``df``: ``vec_id, n_links, component_id, kept``.
 
@@ -221,22 +279,21 @@ def near_vectors(df: DataFrame, s: Settings = Settings(), vec_id: str = "vec_id"
     rows = df.select(df[vec_id].cast("long").alias("id"), df[label].alias("label"), df[vector].cast(f"array<{kind}>").alias("v"))
     good = "label is not null and id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
     rows = rows.withColumn("good", F.coalesce(F.expr(good), F.lit(False)))
-    classes = written(rows.filter("good").groupBy("label", "v").agg(F.min("id").alias("cls"), F.count("*").alias("mult")), "vector-classes")
+    classes = rows.filter("good").groupBy("label", "v").agg(F.min("id").alias("cls"), F.count("*").alias("mult"))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
     n = classes.count()
-    coded = written(_codes(classes, words_for(n, s), s), "vector-codes")
-    keys = coded.select(F.size("v").alias("dim"), "label", "cls", "mult", F.explode("fs").alias("f"))
-    crowds = keys.groupBy("dim", "label", "f").count().filter("count > 1")
-    placed = keys.join(crowds, ["dim", "label", "f"]).withColumn("blocks", F.ceil(F.col("count") / s.block).cast("int"))
-    placed = placed.withColumn("own", F.expr("cast(pmod(xxhash64(cls, f), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    placed = placed.select("dim", "label", "f", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls", "mult", F.col("own").cast("long").alias("own"))
-    full = placed.join(coded.select("label", "cls", "v", "fs", F.size("v").alias("dim")), ["dim", "label", "cls"])
-    full = full.withColumn("earlier", F.expr("filter(fs, e -> e < f)")).drop("fs")
+    coded = written(_codes(classes.withColumn("dim", F.size("v")), words_for(n, s), s), "vector-codes")
+    crowds = written(coded.select("dim", "label", F.explode("fs").alias("f")).groupBy("dim", "label", "f").count().filter("count > 1"), "vector-crowds")
+    balls = written(_balls(coded, crowds, s), "vector-balls")
+    placed = _placed(coded, crowds, balls, s)
+    full = placed.join(coded.select("cid", "dim", "label", "cls", "mult", "v", "fs"), "cid").withColumn("earlier", F.expr("filter(fs, e -> e < f)")).drop("fs")
     sorted_ = full.repartition("dim", "label", "f", "lo", "hi").sortWithinPartitions("dim", "label", "f", "lo", "hi")
-    found = written(sorted_.mapInArrow(_compare(s), "cls long, links long, near long"), "vector-links")
-    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    found = written(sorted_.mapInArrow(_compare(s), "cid long, cls long, links long, near long").unionByName(_counted(balls)), "vector-links")
+    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     edges = found.select(F.col("near").alias("a"), F.col("cls").alias("b")).filter("a <> b").distinct()
     labels = components(edges)
-    known = classes.select("label", "v", "cls", "mult").join(links, "cls", "left").join(labels.withColumnRenamed("id", "cls"), "cls", "left")
-    out = rows.filter("good").join(known, ["label", "v"]).select("id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
+    known = classes.join(links, "cid", "left").join(labels.withColumnRenamed("id", "cls"), "cls", "left")
+    known = known.select("label", "v", "cls", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id"), F.col("mult").alias("k"))
+    out = join_known(rows.filter("good"), known, ["label", "v"]).select("id", "n_links", "component_id")
     alone = rows.filter("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.union(alone).select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
