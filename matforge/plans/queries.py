@@ -62,21 +62,29 @@ layered("spec_matching_rules", _SPECS2, "ord, raw_size, size, raw_pressure, pres
 layered("synonym_expand", [{"expanded": text.expand_synonyms("description")}], "ord, expanded")
 layered("criticality_profile", [{"category": text.category("description")}, {"expected": text.expected_attributes("category"), "size_critical": text.is_critical("size", "category"), "phase_critical": text.is_critical("phase", "category")}], "ord, category, expected, size_critical, phase_critical")
 
-#: Values written in many ways, for the canonical forms.
+#: Values written in many ways, for the canonical forms; {n} is a part's own number.
 VALUES = {
-    "size": ["4\"", "4 IN", "4 inch", "DN100", "100 NB", "100", "1-1/2\"", "1 1/2 inch", "0.5", "25MM", "7 NB", "4.0", "100.0", "9", "3 foot", "7.0"],
-    "pressure": ["CL.150", "Class 150", "150#", "150 lbs", "PN16", "PN 64", "3000 PSI", "CL 2500", "777#", "high", "150# RF", "1500"],
-    "power": ["5 HP", "5HP", "3.7 kW", "15 KILOWATT", "2.5 kW", "7.50 HP", "10 H.P.", "unknown", "110 kw"],
+    "size": ["4\"", "4 IN", "4 inch", "DN100", "100 NB", "100", "1-1/2\"", "1 1/2 inch", "0.5", "25MM", "7 NB", "4.0", "100.0", "9", "3 foot", "7.0", "{n}\"", "{n} IN", "{n} inch", "DN{n}", "{n} NB", "{n}", "{n}-1/2\"", "{n} 1/2 inch", "0.{n}", "{n}MM", "{n}.0", "{n} foot"],
+    "pressure": ["CL.150", "Class 150", "150#", "150 lbs", "PN16", "PN 64", "3000 PSI", "CL 2500", "777#", "high", "150# RF", "1500", "CL.{n}00", "Class {n}50", "{n}00#", "{n}0 lbs", "PN{n}", "PN {n}", "{n}00 PSI", "CL {n}00", "{n}00# RF", "{n}00"],
+    "power": ["5 HP", "5HP", "3.7 kW", "15 KILOWATT", "2.5 kW", "7.50 HP", "10 H.P.", "unknown", "110 kw", "{n} HP", "{n}HP", "{n}.7 kW", "{n} KILOWATT", "{n}.50 HP", "{n} H.P.", "{n}0 kw"],
     "material": ["A216 WCB", "WCB", "A105", "SS316", "F304", "STAINLESS STEEL", "Carbon Steel", "MS", "Inconel", "A106 Gr B", "STAINLESS_STEEL", "A182 F11", "316L", "CF8M"],
 }
 
 
-def _values(kind: str, sql) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, {sql.text(v)})" for i, v in enumerate(VALUES[kind])) + ") AS t(i, v)"
+def _values(kind: str, d, part: str) -> str:
+    """``i, v, step``: each part writes a value in the way its key picks; so all ways come with all numbers."""
+    number = d.string("p_size")
+    spelled = lambda v: d.text(v) if "{n}" not in v else f"concat({', '.join(x for x in (d.text(v.split('{n}')[0]), number, d.text(v.split('{n}')[1])))})"
+    cases = " ".join(f"WHEN {i} THEN {spelled(v)}" for i, v in enumerate(VALUES[kind]))
+    return f"SELECT p_partkey AS i, CASE p_partkey % {len(VALUES[kind])} {cases} END AS v, p_size AS step FROM {part}"
+
+
+def _spelled(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return spark.sql(_values(kind, SPARK, "{part}"), part=table(spark, sf_dir, "part"))
 
 
 def _canonical(kind: str, layers: Layers, columns: str) -> None:
-    query(f"canonical_{kind}", f"SELECT {columns} FROM ({layered_sql(_values(kind, DUCK), layers, DUCK)})")(lambda spark, d: with_layers(spark.sql(_values(kind, SPARK)), layers).selectExpr(*columns.split(", ")))
+    query(f"canonical_{kind}", f"SELECT {columns} FROM ({layered_sql(_values(kind, DUCK, 'part'), layers, DUCK)})")(lambda spark, d: with_layers(_spelled(spark, d, kind), layers).selectExpr(*columns.split(", ")))
 
 
 _canonical("size", [{"canonical": text.size("v")}], "i, v, canonical")
@@ -89,10 +97,11 @@ _PAIRED = "a.v AS a, b.v AS b"
 _STATUS = text.material_status("a.canonical", "b.canonical", "a.family", "b.family")
 
 
-@query("material_compat", f"WITH m AS ({layered_sql(_values('material', DUCK), _MATERIAL, DUCK)}) SELECT {_PAIRED}, {_STATUS(DUCK)} AS status FROM m a JOIN m b ON a.i < b.i")
+@query("material_compat", f"WITH m AS ({layered_sql(_values('material', DUCK, 'part'), _MATERIAL, DUCK)}) SELECT a.i, {_PAIRED}, {_STATUS(DUCK)} AS status FROM m a JOIN m b ON b.i = a.i + a.step")
 def material_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = with_layers(spark.sql(_values("material", SPARK)), _MATERIAL)
-    return m.alias("a").join(m.alias("b"), F.expr("a.i < b.i")).select(F.col("a.v").alias("a"), F.col("b.v").alias("b"), F.expr(_STATUS(SPARK)).alias("status"))
+    """Each part's material against that of the part ``p_size`` further on."""
+    m = with_layers(_spelled(spark, sf_dir, "material"), _MATERIAL)
+    return m.alias("a").join(m.alias("b"), F.expr("b.i = a.i + a.step")).select("a.i", F.col("a.v").alias("a"), F.col("b.v").alias("b"), F.expr(_STATUS(SPARK)).alias("status"))
 
 
 @query("unit_compat", f"WITH u AS (SELECT DISTINCT uom FROM ({catalog_oracle()}) UNION SELECT 'KGS') SELECT a.uom AS a, b.uom AS b, {text.same_unit_score('a.uom', 'b.uom')(DUCK)} AS score FROM u a, u b")
