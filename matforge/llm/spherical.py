@@ -232,9 +232,11 @@ def _balls(coded: DataFrame, crowds: DataFrame, s: Settings) -> DataFrame:
     keys = ["dim", "label", "ball"]
     most = join_known(coded.select("dim", "label", "cid", F.explode("fs").alias("f")), crowds.filter(F.col("count") >= s.crowd).withColumn("k", F.col("count")), ["dim", "label", "f"])
     home = most.filter("count is not null").groupBy("cid").agg(F.max_by("f", F.struct("count", -F.col("f"))).alias("ball"))
-    scaled = coded.withColumn("top", F.expr("double(array_max(transform(v, x -> abs(x))))")).withColumn("u", F.expr("transform(v, x -> double(x) / top)"))
-    unit = F.expr("transform(u, x -> x / norm)")
-    at = written(scaled.withColumn("norm", F.expr("sqrt(aggregate(u, 0D, (t, y) -> t + y * y))")).select("cid", "cls", "mult", "dim", "label", unit.alias("u")).join(home, "cid"), "vector-homes")
+    # lambdas over arrays of one: what they bind is computed once a vector, not once a component
+    scaled = "transform(array(array_max(transform(v, x -> abs(double(x))))), t -> transform(v, x -> double(x) / t))[0]"
+    norm = "sqrt(aggregate(u, 0D, (t, y) -> t + y * y))"
+    unit = F.expr(f"transform(array({scaled}), u -> transform(array({norm}), n -> transform(u, x -> x / n))[0])[0]")
+    at = written(coded.select("cid", "cls", "mult", "dim", "label", unit.alias("u")).join(home, "cid"), "vector-homes")
     sums = at.select(*keys, F.posexplode("u").alias("i", "x")).groupBy(*keys, "i").agg(F.sum("x").alias("x"), F.count("*").alias("k"))
     means = sums.groupBy(*keys).agg(F.max("k").alias("k"), F.expr("transform(array_sort(collect_list(struct(i, x))), p -> p.x)").alias("mean"))
     dot = "aggregate(zip_with(u, mean, (x, y) -> x * y), 0D, (t, z) -> t + z)"
