@@ -124,13 +124,19 @@ def _coded(matches: DataFrame, old: DataFrame) -> DataFrame:
         open_ = saved(rest.drop("origin", "cnmc_code").join(target, "other").select("node", "ord", F.col("o").alias("origin"), F.col("c").alias("cnmc_code"), F.col("further").alias("other")))
 
 
-def mint(t: Tables, matches: DataFrame, action: str, actor: str, at) -> Tables:
+def mint(t: Tables, matches: DataFrame, action: str, actor, at) -> Tables:
     """Applies approved ``matches`` in the order of ``ord``.
 
     Neither item mapped: a new code for both.  One mapped: the other joins it.  Both: nothing, even if their codes differ.
     ``matches``: ``ord, match_id, item_a, item_b, source_cpse_a, source_cpse_b, canonical_description, confidence_score``.
-    ``at`` is the time of the entries.
+    ``at`` is the time of the entries; it and ``actor`` may be columns of ``matches``.
     """
+    t, entries = _minted(t, matches, action, actor, at)
+    return replace(t, audit=_audited(t.audit, entries))
+
+
+def _minted(t: Tables, matches: DataFrame, action: str, actor, at) -> tuple[Tables, DataFrame]:
+    """``mint`` without its audit entries, and these entries."""
     node = lambda s: F.concat_ws("\u0001", f"source_cpse_{s}", f"item_{s}")
     m = saved(matches.withColumns({"node_a": node("a"), "node_b": node("b")}))
     bad = m.filter("source_cpse_a is null or source_cpse_b is null or item_a is null or item_b is null or canonical_description is null or confidence_score is null")
@@ -153,7 +159,7 @@ def mint(t: Tables, matches: DataFrame, action: str, actor: str, at) -> Tables:
     mapping = numbered(mapping.withColumn("ord", F.col("ord") * 2 + F.col("i")), top + 1).select(F.col("number").alias("id"), "cnmc_code", "source_cpse", "original_code")
     details = F.to_json(F.struct("match_id", "item_a", "item_b", "source_cpse_a", "source_cpse_b", "confidence_score"))
     entries = done.select("ord", "cnmc_code", F.lit(action).alias("action"), F.lit(actor).alias("actor"), details.alias("details"), when.alias("timestamp"))
-    return replace(t, registry=t.registry.unionByName(registry), mapping=t.mapping.unionByName(mapping), audit=_audited(t.audit, entries))
+    return replace(t, registry=t.registry.unionByName(registry), mapping=t.mapping.unionByName(mapping)), entries
 
 
 def _audited(audit: DataFrame, entries: DataFrame) -> DataFrame:
@@ -164,9 +170,12 @@ def _audited(audit: DataFrame, entries: DataFrame) -> DataFrame:
 
 def audit_only(t: Tables, matches: DataFrame, action: str, actor: str, at, reason: str = "block_reason") -> Tables:
     """Entries without a code: blocked and rejected matches."""
+    return replace(t, audit=_audited(t.audit, _uncoded(matches, action, actor, at, reason)))
+
+
+def _uncoded(matches: DataFrame, action: str, actor, at, reason: str) -> DataFrame:
     details = F.to_json(F.struct("match_id", "item_a", "item_b", "source_cpse_a", "source_cpse_b", "confidence_score", F.col(reason).alias("reason")))
-    entries = matches.select("ord", F.lit(None).cast("string").alias("cnmc_code"), F.lit(action).alias("action"), F.lit(actor).alias("actor"), details.alias("details"), F.lit(at).cast("timestamp_ntz").alias("timestamp"))
-    return replace(t, audit=_audited(t.audit, entries))
+    return matches.select("ord", F.lit(None).cast("string").alias("cnmc_code"), F.lit(action).alias("action"), F.lit(actor).alias("actor"), details.alias("details"), F.lit(at).cast("timestamp_ntz").alias("timestamp"))
 
 
 def enriched(matches: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -223,13 +232,43 @@ def decide(t: Tables, matches: DataFrame, catalog: DataFrame, match_id: str, dec
     return mint(t, full, "human_approved", reviewer, at)
 
 
+def decide_all(t: Tables, matches: DataFrame, catalog: DataFrame, decisions: DataFrame, at) -> tuple[Tables, DataFrame]:
+    """A table of reviewers' decisions, with the effects that ``decide`` has for one after the other in the order of time.
+
+    ``decisions``: ``match_id, decision, reviewer_id, reviewed_at, notes``.  Ties in time go by match, decision, reviewer and
+    notes; a decision without a time is taken at ``at``.  Gives the new tables, and the decisions that are refused, with their
+    ``reason``: those that are neither approved nor rejected, of an unknown match, or an approval of a blocked match.  Several
+    decisions on one match all count; of matches with equal ids, the first by ``ord``.  Raises if a match that is decided names
+    an item that is not in the catalog.
+    """
+    known = matches.groupBy("match_id").agg(F.min_by(F.struct(*[c for c in matches.columns if c != "match_id"]), "ord").alias("m"))
+    verdict = F.lower(F.regexp_replace(F.coalesce("decision", F.lit("")), r"^\s+|\s+$", ""))
+    asked = decisions.select("match_id", verdict.alias("verdict"), "decision", "reviewer_id", F.coalesce(F.col("reviewed_at").cast("timestamp"), F.lit(at).cast("timestamp")).alias("reviewed_at"), "notes")
+    reason = (
+        F.when(~F.col("verdict").isin("approved", "rejected"), "a decision is approved or rejected")
+        .when(F.col("m").isNull(), "match is not known")
+        .when((F.col("verdict") == "approved") & (F.col("m.status") == "safety_gate_blocked"), "a blocked match cannot be approved")
+    )
+    judged = saved(asked.join(known, "match_id", "left").withColumn("reason", reason))
+    refused = judged.filter("reason is not null").select("match_id", "decision", "reviewer_id", "reviewed_at", "notes", "reason")
+    taken = numbered(judged.filter("reason is null").drop("reason").withColumn("_o", F.struct("reviewed_at", "match_id", "verdict", "reviewer_id", "notes")), 1, "_o")
+    fields = ("item_a", "item_b", "source_cpse_a", "source_cpse_b", "confidence_score")
+    one = taken.select(F.col("number").alias("ord"), "match_id", "verdict", "reviewer_id", "reviewed_at", "notes", *(F.col(f"m.{c}") for c in fields))
+    full = saved(enriched(one, catalog))
+    rows = full.select("match_id", F.col("verdict").alias("reviewer_decision"), F.col("verdict").alias("decision"), "reviewer_id", "reviewed_at", "notes")
+    who, when = F.col("reviewer_id"), F.col("reviewed_at")
+    t, approved = _minted(replace(t, decisions=t.decisions.unionByName(rows)), full.filter("verdict = 'approved'"), "human_approved", who, when)
+    rejected = _uncoded(full.filter("verdict = 'rejected'"), "human_rejected", who, when, "notes")
+    return replace(t, audit=_audited(t.audit, approved.unionByName(rejected))), refused
+
+
 def batch_approve(t: Tables, matches: DataFrame, catalog: DataFrame, at, min_confidence: float = 0.70, reviewer: str = "senior_procurement_lead", compat: bool = False) -> Tables:
     """Approves every match of enough confidence that is not blocked; those a reviewer rejected only with ``compat``."""
     chosen = matches.filter((F.col("confidence_score") >= min_confidence) & (F.col("status") != "safety_gate_blocked"))
     if not compat:
         latest = t.decisions.groupBy("match_id").agg(F.max_by("decision", "reviewed_at").alias("d")).filter("d = 'rejected'")
         chosen = chosen.join(latest, "match_id", "left_anti")
-    rows = chosen.select("match_id", F.lit("approved").alias("reviewer_decision"), F.lit("approved").alias("decision"), F.lit(reviewer).alias("reviewer_id"), F.lit(at).cast("timestamp").alias("reviewed_at"), F.lit(None).cast("string").alias("notes"))
+    rows = chosen.select("match_id", F.lit("approved").alias("reviewer_decision"), F.lit("approved").alias("decision"), F.lit(reviewer).alias("reviewer_id"), F.lit(at).cast("timestamp").alias("reviewed_at"), F.concat(F.lit("Batch approved (Confidence "), F.col("confidence_score").cast("string"), F.lit(")")).alias("notes"))
     return mint(replace(t, decisions=t.decisions.unionByName(rows)), enriched(chosen, catalog), "human_approved", reviewer, at)
 
 

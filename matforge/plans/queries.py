@@ -11,7 +11,7 @@ from ..functions import rules, similarity, specs, text
 from ..functions.dialect import DUCK, SPARK, Layers, layered_sql, with_layers
 from ..operators import analytics, candidates, encoder, gate, prototypes, registry
 from ..sources import catalogs
-from ..stages import shared_folder, staged
+from ..stages import shared_folder, spread, staged
 from . import matching
 from .catalog_view import catalog, catalog_oracle
 
@@ -182,11 +182,13 @@ _CONDITION = "(a.category = b.category OR a.category = 'OTHER' OR b.category = '
 _SIDES = [*gate.ITEM_COLUMNS, "ord", "words"]
 
 
+_PAIR_COLUMNS = ", ".join(f"{s}.{c} AS {c}_{s}" for c in _SIDES for s in "ab")
+_COMMON = "len(list_intersect(a.words, b.words))"
+_OVERLAP_SQL = f"round_even({_COMMON} / cast(len(a.words) + len(b.words) - {_COMMON} AS double), 3)"
+
+
 def _pairs_sql() -> str:
-    cols = ", ".join(f"{s}.{c} AS {c}_{s}" for c in _SIDES for s in "ab")
-    common = "len(list_intersect(a.words, b.words))"
-    sem = f"round_even({common} / cast(len(a.words) + len(b.words) - {common} AS double), 3)"
-    return f"WITH i AS (SELECT * FROM ({layered_sql(catalog_oracle(), _ITEMS, DUCK)})) SELECT {cols}, {sem} AS semantic FROM i a JOIN i b ON {_CONDITION}"
+    return f"WITH i AS (SELECT * FROM ({layered_sql(catalog_oracle(), _ITEMS, DUCK)})) SELECT {_PAIR_COLUMNS}, {_OVERLAP_SQL} AS semantic FROM i a JOIN i b ON {_CONDITION}"
 
 
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,6 +233,38 @@ query("spec_detail_counts", _REASONS.format(u=" UNION ALL ".join(f"SELECT st_{n}
 )
 
 
+def _detail_sql(name: str, col: str, always: bool) -> str:
+    """One attribute of an explanation as text: name, both values, what became of them, how much it matters."""
+    priority = f"CASE WHEN {always} OR {text.is_critical(name, 'category_a')(DUCK)} THEN 'CRITICAL' ELSE 'IMPORTANT' END"
+    return f"CASE WHEN category_a = category_b AND st_{name} IS NOT NULL THEN concat_ws('/', '{name}', coalesce({col}_a, 'UNKNOWN'), coalesce({col}_b, 'UNKNOWN'), st_{name}, {priority}) END"
+
+
+_RECORDS = f"""SELECT concat('M-', item_id_a, '-', item_id_b) AS match_id, item_id_a AS item_a, item_id_b AS item_b, source_cpse_a, source_cpse_b, category_a AS category, sub_classification, confidence_score, status,
+    semantic AS text_similarity, technical_score AS spec_match, unit_score AS unit_compatibility, block_reason,
+    CASE WHEN category_a = category_b THEN concat(category_a, ' (Matched: ', category_a, ' == ', category_b, ')') ELSE concat(category_a, ' ≠ ', category_b) END AS shown_category,
+    CAST(trunc(semantic * 100) AS INTEGER) AS semantic_similarity_pct, CAST(trunc(technical_score * 100) AS INTEGER) AS technical_score_pct,
+    concat(evaluated_specs, '/', total_expected, ' specs verified') AS coverage,
+    CASE WHEN category_a <> category_b THEN 1 ELSE {" + ".join(f"coalesce(CAST(st_{n} = 'CONFLICT' AS INTEGER), 0)" for n, *_ in gate.ATTRIBUTES)} END AS critical_conflicts_count,
+    CASE WHEN category_a = category_b THEN concat_ws('|', {", ".join(f"CASE WHEN st_{n} = 'UNVERIFIED' THEN '{n}' END" for n, *_ in gate.ATTRIBUTES)}) ELSE '' END AS unverified_critical,
+    concat_ws(';', concat_ws('/', 'category', category_a, category_b, CASE WHEN category_a = category_b THEN 'MATCH' ELSE 'CONFLICT' END, 'CRITICAL'), {", ".join(_detail_sql(n, c, always) for n, c, _, always in gate.ATTRIBUTES)}) AS spec_details,
+    CASE status WHEN 'safety_gate_blocked' THEN concat('Safety Gate Blocked: ', block_reason) WHEN 'auto_linked' THEN concat('Auto-Linked as ', sub_classification, ' (Confidence: ', CAST(trunc(confidence_score * 100) AS INTEGER), '%)')
+        WHEN 'no_match' THEN 'No Match: Different items' ELSE concat('Routed to Human Review: ', CASE sub_classification WHEN 'NEEDS_SPEC_VALIDATION' THEN concat('Unverified critical attributes (', unverified, ')')
+        WHEN 'FUNCTIONALLY_EQUIVALENT' THEN 'Functionally equivalent material family requiring engineering sign-off' ELSE 'Plausible candidate pair requiring engineer confirmation' END) END AS summary
+FROM ({_DECIDED}) WHERE semantic >= {rules.PREFILTER}"""
+
+
+@query("match_records", _RECORDS)
+def match_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole match records, explanation included, of all blocked pairs that are not left out as too unlike."""
+    likely = scored_pairs(spark, sf_dir).filter(F.col("semantic") >= rules.PREFILTER)
+    r = gate.match_records(staged(gate.decide(staged(gate.evaluate(likely)))))
+    e = "explanation"
+    plain = [c for c in r.columns if c not in (e, "score_breakdown")]
+    told = [F.col(f"{e}.{c}") for c in ("semantic_similarity_pct", "technical_score_pct", "coverage", "critical_conflicts_count", "summary")]
+    details = F.transform(f"{e}.spec_details", lambda d: F.concat_ws("/", *(d[c] for c in ("attribute", "val_a", "val_b", "status", "priority"))))
+    return r.select(*plain, "score_breakdown.*", F.col(f"{e}.category").alias("shown_category"), *told, F.array_join(f"{e}.unverified_critical", "|").alias("unverified_critical"), F.array_join(details, ";").alias("spec_details"))
+
+
 @query("category_counts", f"SELECT category, cast(count(*) AS bigint) AS items FROM ({layered_sql(catalog_oracle(), [{'category': text.category('description')}], DUCK)}) GROUP BY 1")
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_layers(catalog(spark, sf_dir), [{"category": text.category("description")}]).groupBy("category").agg(F.count("*").alias("items"))
@@ -542,6 +576,84 @@ query("registry_update", "SELECT s_suppkey, CASE WHEN s_suppkey = 1 THEN 'fixed'
 )
 
 
+_HALVES_SQL = f"""WITH i AS (SELECT * FROM ({layered_sql(catalog_oracle(), _ITEMS, DUCK)})) SELECT {_PAIR_COLUMNS}, {_OVERLAP_SQL} AS semantic, a.g * 2 + a.k // 2 AS ord
+FROM i a JOIN i b ON a.g = b.g AND a.k IN (0, 2) AND b.k = a.k + 1"""
+_HALVES = layered_sql(_HALVES_SQL, [*gate.evaluation_layers(), *gate.decision_layers()], DUCK)
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Decided matches between the first two and between the last two phrasings of each item, in an order; and their items."""
+    items = staged(with_layers(spread(catalog(spark, sf_dir), "ord"), _ITEMS).select(*_SIDES, "g", F.expr("k div 2").alias("half"), F.expr("k % 2").alias("side"), F.col("description").alias("clean_description")))
+    a, b = (items.filter(F.col("side") == i).select("g", "half", *(F.col(c).alias(f"{c}_{s}") for c in _SIDES)) for i, s in enumerate("ab"))
+    decided = gate.decide(staged(gate.evaluate(staged(with_overlap(a.join(b, ["g", "half"]))))))
+    matches = decided.select((F.col("g") * 2 + F.col("half")).alias("ord"), F.concat(F.lit("M-"), "item_id_a", F.lit("-"), "item_id_b").alias("match_id"), F.col("item_id_a").alias("item_a"), F.col("item_id_b").alias("item_b"), "source_cpse_a", "source_cpse_b", "confidence_score", "status", "block_reason")
+    return staged(matches), items
+
+
+_REVIEW = f"""WITH m AS MATERIALIZED (SELECT ord, concat('M-', item_id_a, '-', item_id_b) AS match_id, status FROM ({_HALVES})),
+d AS (SELECT ord, status, CASE WHEN ord % 7 = 4 THEN concat('no ', match_id) ELSE match_id END AS match_id, CASE ord % 7 WHEN 1 THEN 'rejected' WHEN 3 THEN 'maybe' WHEN 5 THEN NULL WHEN 2 THEN ' Approved ' ELSE 'approved' END AS decision FROM m WHERE ord % 7 < 6),
+j AS (SELECT *, lower(trim(decision)) AS verdict, CASE WHEN ord % 7 IN (3, 5) THEN 'a decision is approved or rejected' WHEN ord % 7 = 4 THEN 'match is not known'
+    WHEN status = 'safety_gate_blocked' AND ord % 7 <> 1 THEN 'a blocked match cannot be approved' END AS reason FROM d),
+coded AS (SELECT ord, printf('CNMC-%06d', row_number() OVER (ORDER BY ord)) AS cnmc_code FROM j WHERE reason IS NULL AND verdict = 'approved')
+SELECT CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY reason IS NULL ORDER BY ord) ELSE 0 END AS entry_id, match_id, CASE WHEN reason IS NULL THEN 'human_' || verdict ELSE 'refused' END AS action, 'r' || (ord % 3) AS actor,
+    strftime(TIMESTAMP '2024-01-01' + to_seconds(ord), '%Y-%m-%dT%H:%M:%S') AS at, cnmc_code, coalesce(reason, CASE WHEN verdict = 'rejected' THEN 'not the same' END) AS reason FROM j LEFT JOIN coded USING (ord)"""
+
+
+@query("review_decisions", _REVIEW)
+def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of reviewers' decisions, good and bad ones, on matches of the whole catalog: what was recorded and what was refused."""
+    matches, items = _halves(spark, sf_dir)
+    kind = F.col("ord") % 7
+    asked = matches.filter(kind < 6).select(
+        F.when(kind == 4, F.concat(F.lit("no "), "match_id")).otherwise(F.col("match_id")).alias("match_id"),
+        F.when(kind == 1, "rejected").when(kind == 2, " Approved ").when(kind == 3, "maybe").when(kind != 5, "approved").alias("decision"),
+        F.concat(F.lit("r"), F.col("ord") % 3).alias("reviewer_id"),
+        F.timestamp_seconds(F.col("ord") + 1704067200).alias("reviewed_at"),
+        F.when(kind == 1, "not the same").alias("notes"),
+    )
+    t, refused = registry.decide_all(registry.empty(spark), matches, items, asked, _dt())
+    at = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias("at")
+    done = t.audit.select("entry_id", F.get_json_object("details", "$.match_id").alias("match_id"), "action", "actor", at("timestamp"), "cnmc_code", F.get_json_object("details", "$.reason").alias("reason"))
+    return done.unionByName(refused.select(F.lit(0).cast("long").alias("entry_id"), "match_id", F.lit("refused").alias("action"), F.col("reviewer_id").alias("actor"), at("reviewed_at"), F.lit(None).cast("string").alias("cnmc_code"), "reason"))
+
+
+_BATCH = f"""WITH m AS (SELECT *, row_number() OVER (ORDER BY ord) AS n FROM (SELECT * FROM ({_HALVES}) WHERE confidence_score >= 0.7 AND status <> 'safety_gate_blocked' AND ord % 7 <> 1)),
+sides AS (SELECT 2 * n - 1 AS id, n, source_cpse_a AS source_cpse, item_id_a AS original_code, * FROM m UNION ALL SELECT 2 * n, n, source_cpse_b, item_id_b, * FROM m)
+SELECT id, printf('CNMC-%06d', sides.n) AS cnmc_code, source_cpse, original_code, confidence_score AS confidence_at_merge, 'human_approved' AS merge_type, c.description AS canonical_description
+FROM sides JOIN (SELECT description, {CODE} AS item_id FROM ({catalog_oracle()})) c ON c.item_id = item_id_a"""
+
+
+@query("batch_approval", _BATCH)
+def batch_approval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and mappings after a batch approval of matches of the whole catalog, some of which were rejected before."""
+    matches, items = _halves(spark, sf_dir)
+    rejected = matches.filter(F.col("ord") % 7 == 1).select("match_id", F.lit("rejected").alias("decision"), F.lit("r").alias("reviewer_id"), F.lit(None).cast("timestamp").alias("reviewed_at"), F.lit(None).cast("string").alias("notes"))
+    t, _ = registry.decide_all(registry.empty(spark), matches, items, rejected, _dt())
+    t = registry.batch_approve(t, matches, items, _dt())
+    return t.mapping.join(t.registry, "cnmc_code").select("id", "cnmc_code", "source_cpse", "original_code", "confidence_at_merge", "merge_type", "canonical_description")
+
+
+_FROM, _TO = "2024-01-05 00:00:00", "2024-01-20 00:00:00"
+
+
+@query("registry_window", f"SELECT r.cnmc_code, r.created_at, count(m.id) AS mappings FROM (SELECT printf('CNMC-%06d', s_suppkey) AS cnmc_code, TIMESTAMP '2024-01-01' + to_days(CAST(s_suppkey % 28 AS INTEGER)) AS created_at FROM supplier) r LEFT JOIN {_M} m USING (cnmc_code) WHERE r.created_at >= TIMESTAMP '{_FROM}' AND r.created_at <= TIMESTAMP '{_TO}' GROUP BY ALL")
+def registry_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes created within two times, both included."""
+    from datetime import datetime
+
+    found = analytics.filter_registry(*_shape(spark, sf_dir), start=datetime.fromisoformat(_FROM), end=datetime.fromisoformat(_TO))
+    return found.select("cnmc_code", "created_at", F.size("mappings").cast("long").alias("mappings"))
+
+
+@query("overview", f"""WITH d AS (SELECT status FROM ({_DECIDED})) SELECT (SELECT count(*) FROM d) AS total, count(*) FILTER (status = 'auto_linked') AS auto_linked, count(*) FILTER (status = 'needs_review') AS needs_review,
+count(*) FILTER (status = 'safety_gate_blocked') AS safety_gate_blocked, (SELECT count(*) FROM part) AS items, (SELECT count(*) FROM supplier) AS codes, (SELECT count(*) FROM part) AS mappings,
+(SELECT count(*) FROM events) AS audits, (SELECT count(*) FROM events WHERE user_id % 4 = 0) AS human_approved FROM d""")
+def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All counts of the overview: the audit trail is the table of events."""
+    audit = table(spark, sf_dir, "events").select(F.expr("CASE WHEN user_id % 4 = 0 THEN 'human_approved' ELSE 'auto_linked' END").alias("action"))
+    return analytics.stats(catalog(spark, sf_dir), decided_classes(spark, sf_dir), *_shape(spark, sf_dir), audit, weight="pairs").drop("duplicate_percent", "savings")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog to decisions: cleaning, attributes, blocked pairs, gate, counts by decision."""
     return QUERIES["gate_status_counts"](spark, sf_dir)
