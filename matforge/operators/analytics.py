@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import postings
 
@@ -111,6 +113,12 @@ def key_specifications(specs: str = "specs") -> Column:
     return F.when(text == "", "N/A").otherwise(text)
 
 
+@F.pandas_udf(StringType())
+def two_places(x: pd.Series) -> pd.Series:
+    """``%.2f`` of the number itself.  The JVM rounds its shortest decimal form instead: 0.285 is a little less, and gives 0.28."""
+    return pd.Series([None if v is None or v != v else "%.2f" % v for v in x], dtype=object)
+
+
 def sap_export(registry: DataFrame, mapping: DataFrame, catalog: DataFrame) -> DataFrame:
     """The migration table: one row for each mapping, by code; items that are not in the catalog keep their mapping."""
     items = catalog.select(F.upper("source_cpse").alias("_cpse"), F.col("item_id").alias("original_code"), "raw_description", "clean_description", "unit_of_measure", "category", "category_hint", "specs")
@@ -125,7 +133,7 @@ def sap_export(registry: DataFrame, mapping: DataFrame, catalog: DataFrame) -> D
         F.coalesce("unit_of_measure", F.lit("EA")).alias("UOM"),
         F.coalesce("specs.category", "category_hint", F.lit("GENERAL")).alias("CATEGORY"),
         key_specifications().alias("KEY_SPECIFICATIONS"),
-        F.format_string("%.2f", "confidence_at_merge").alias("CONFIDENCE_SCORE"),
+        two_places("confidence_at_merge").alias("CONFIDENCE_SCORE"),
         F.col("merge_type").alias("MERGE_TYPE"),
         F.lit("READY_FOR_SAP_ERP_IMPORT").alias("MAPPING_STATUS"),
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("EXPORT_TIMESTAMP"),
