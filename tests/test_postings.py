@@ -43,3 +43,11 @@ def test_look_up_narrows(tables):
     items, _, _, index, _ = tables
     assert 0 < index.candidates(["gate valve"]).count() < items.count() / 2
     assert index.candidates(["ab"]) is None
+
+
+def test_copies_add_no_postings(spark):
+    """A text is posted once, however many rows have it, and all of them are found."""
+    rows = spark.range(300).select("id", F.expr("CASE WHEN id % 3 = 0 THEN 'gate valve' ELSE 'pump' END").alias("t"))
+    index = postings.build((rows, "id", ["t"]))
+    assert index.postings.count() == 8 + 2
+    assert sorted(r["id"] for r in index.narrowed(rows, "id", ["Valve"]).collect()) == list(range(0, 300, 3))
