@@ -20,6 +20,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..stages import spread, staged
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -61,14 +63,15 @@ class Rows:
         return known, x
 
 
-def _texts(parts: Iterator[pd.DataFrame], size: int = 256) -> Iterator[list[str]]:
+def _texts(parts: Iterator[pd.DataFrame], size: int = 256) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Texts, and how often each comes."""
     for pdf in parts:
-        texts = [t or "" for t in pdf["t"]]
+        texts, n = [t or "" for t in pdf["t"]], pdf["n"].to_numpy()
         for i in range(0, len(texts), size):
-            yield texts[i : i + size]
+            yield texts[i : i + size], n[i : i + size, None]
 
 
-def _added(texts: DataFrame, width: int, s: Settings, work: Callable[[Iterator[list[str]], np.ndarray], None]) -> np.ndarray:
+def _added(texts: DataFrame, width: int, s: Settings, work: Callable[[Iterator[tuple[list[str], np.ndarray]], np.ndarray], None]) -> np.ndarray:
     """The sum of what tasks write into a matrix of ``buckets`` rows; blocks that a task left empty do not travel."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,27 +120,28 @@ class Learned:
 
 def learn(items: DataFrame, text: Column | str = "clean_description", s: Settings = Settings()) -> Learned:
     """An encoder from all texts of ``items``; null and empty ones add nothing, repeated ones count as often as they come."""
-    texts = items.select((F.col(text) if isinstance(text, str) else text).alias("t"))
+    each = items.groupBy((F.col(text) if isinstance(text, str) else text).alias("t")).agg(F.count("*").alias("n"))
+    texts = staged(spread(each, "t"))  # a text is counted and multiplied once, whatever the number of its items
 
-    def count(parts: Iterator[list[str]], total: np.ndarray) -> None:
+    def count(parts: Iterator[tuple[list[str], np.ndarray]], total: np.ndarray) -> None:
         rows = Rows(s)
-        for some in parts:
+        for some, n in parts:
             known, x = rows.dense(some)
-            total[known, 0] += (x > 0).sum(axis=0)
+            total[known, 0] += ((x > 0) * n).sum(axis=0)
 
     df = _added(texts, 1, s, count)[:, 0]
-    rarity = np.log((1 + texts.count()) / (1 + df)) + 1
+    rarity = np.log((1 + (texts.agg(F.sum("n")).first()[0] or 0)) / (1 + df)) + 1
     rng = np.random.default_rng(s.seed)
     factor = np.linalg.qr(rng.normal(size=(s.buckets, s.dim)))[0]
     for _ in range(s.rounds):
         shipped = items.sparkSession.sparkContext.broadcast((rarity, factor))
 
-        def multiply(parts: Iterator[list[str]], total: np.ndarray, shipped=shipped) -> None:
+        def multiply(parts: Iterator[tuple[list[str], np.ndarray]], total: np.ndarray, shipped=shipped) -> None:
             rarity, factor = shipped.value
             rows = Rows(s, rarity)
-            for some in parts:
+            for some, n in parts:
                 known, x = rows.dense(some)
-                total[known] += x.T @ (x @ factor[known])
+                total[known] += x.T @ (n * (x @ factor[known]))
 
         product = _added(texts, s.dim, s, multiply)
         # directions that no text has stay as they are; the others turn towards the largest singular values
