@@ -75,3 +75,15 @@ def test_order_and_window_of_listings(spark):
     audit = spark.range(60).select(F.col("id").alias("entry_id"), F.expr("CASE WHEN id % 2 = 0 THEN 'auto_linked' ELSE 'human_approved' END").alias("action"), F.timestamp_seconds(F.col("id") % 5).alias("timestamp")).repartition(4)
     got = [(r["timestamp"], r["entry_id"]) for r in analytics.filter_audit(audit, "auto_linked").collect()]
     assert got == sorted(got, reverse=True) and len(got) == 30
+
+
+@pytest.mark.parametrize("status", [None, "safety_blocked", "needs_review", "human_rejected"])
+def test_queue_of_matches_that_carry_their_decision(spark, catalog, queue, status):  # noqa: F811
+    """The same queue as with a table of decisions; without one, matches are not dealt by their ids."""
+    told = {"M-A1-B1": "rejected", "M-A3-B3": "approved", "M-A0-B0": "rejected"}
+    decisions = spark.createDataFrame([(m, d, AT) for m, d in told.items()], "match_id string, decision string, reviewed_at timestamp")
+    mapping = spark.createDataFrame([(1, "CNMC-000001", "SAIL", "A2"), (2, "CNMC-000001", "ONGC", "B2")], registry.MAPPING)
+    carried = queue.withColumn("decided", F.create_map(*[F.lit(x) for kv in told.items() for x in kv])[F.col("match_id")])
+    rows = lambda m, d: sorted((r["match_id"], r["status"], str(r["cnmc_code"]), str(r["mappings"]), r["description_a"]) for r in registry.pending(m, catalog, mapping, d, status).collect())
+    got = rows(carried, None)
+    assert got == rows(queue, decisions) and got != [] if status != "safety_blocked" else got == rows(queue, decisions) == []
