@@ -87,3 +87,13 @@ def test_queue_of_matches_that_carry_their_decision(spark, catalog, queue, statu
     rows = lambda m, d: sorted((r["match_id"], r["status"], str(r["cnmc_code"]), str(r["mappings"]), r["description_a"]) for r in registry.pending(m, catalog, mapping, d, status).collect())
     got = rows(carried, None)
     assert got == rows(queue, decisions) and got != [] if status != "safety_blocked" else got == rows(queue, decisions) == []
+
+
+def test_matches_are_decided_once_for_each_two_wordings(spark, monkeypatch):
+    """The catalog repeats its wordings, so far fewer pairs are evaluated than there are matches."""
+    from matforge.plans import queries
+
+    seen, evaluate = [], queries.gate.evaluate
+    monkeypatch.setattr(queries.gate, "evaluate", lambda pairs: seen.append(pairs) or evaluate(pairs))
+    matches, _ = queries._halves(spark, "/root/testdata/sf0.01")
+    assert matches.count() == 1000 and seen[0].count() < 500
