@@ -97,3 +97,13 @@ def test_matches_are_decided_once_for_each_two_wordings(spark, monkeypatch):
     monkeypatch.setattr(queries.gate, "evaluate", lambda pairs: seen.append(pairs) or evaluate(pairs))
     matches, _ = queries._halves(spark, "/root/testdata/sf0.01")
     assert matches.count() == 1000 and seen[0].count() < 500
+
+
+@pytest.mark.parametrize("name", ["pending_blocked", "pending_queue"])
+def test_queue_looks_nothing_up_for_a_match(spark, name):
+    """Items have their codes before pairs are written out: no pair is joined or dealt afterwards."""
+    from matforge.plans import queries
+
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    above = plan[: plan.rindex("Generate inline")]
+    assert plan.count("Generate inline") == 2 and "Join" not in above and "Exchange" not in above
